@@ -21,11 +21,12 @@ def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 
 
-def _collapse(hooks: DataFrame) -> DataFrame:
-    """Pointer doubling of ``c -> p`` until every p is a root."""
+def _collapse(hooks: DataFrame, n: int) -> DataFrame:
+    """Pointer doubling of ``c -> p`` (at most ``n`` rows) until every p is a root."""
     while True:
         far = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        hooks = cut(hooks.join(far, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+        step = lookup(hooks, "p", far, "inner", n)
+        hooks = cut(step.select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
         if hooks.where("moved").isEmpty():
             return hooks.select("c", "p")
         hooks = hooks.select("c", "p")
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         .select(lo.alias("lo"), hi.alias("hi"))
         .distinct()
     )
-    rounds: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, int]] = []
     while (n := live.count()) > 0:
         w = F.xxhash64("lo", "hi").alias("w")
         ends = live.select(w, "lo", "hi", F.explode(F.array(F.col("lo"), F.col("hi"))).alias("c"))
@@ -56,8 +57,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         back = picks.select(F.col("c").alias("p"), F.col("p").alias("q"))
         root = (F.col("q") == F.col("c")) & (F.col("c") < F.col("p"))
         hooks = picks.join(back, "p").select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"))
-        hooks = _collapse(hooks)
-        rounds.append(hooks)
+        hooks = _collapse(hooks, 2 * n)
+        rounds.append((hooks, 2 * n))
         ends_lo = hooks.select(F.col("c").alias("lo"), F.col("p").alias("plo"))
         ends_hi = hooks.select(F.col("c").alias("hi"), F.col("p").alias("phi"))
         joined = lookup(lookup(live, "lo", ends_lo, "inner", n), "hi", ends_hi, "inner", n)
@@ -66,10 +67,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     if not rounds:
         return live.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     # Later rounds know only the roots of earlier ones: compose from the last.
-    whole = rounds[-1]
-    for earlier in reversed(rounds[:-1]):
+    whole, n = rounds[-1]
+    for earlier, n in reversed(rounds[:-1]):
         later = whole.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        whole = earlier.join(later, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
+        whole = lookup(earlier, "p", later, "left", n).select("c", F.coalesce("pp", "p").alias("p"))
     whole = cut(whole)
     names = whole.groupBy("p").agg(F.min("c").alias("component"))
-    return whole.join(names, "p").select(F.col("c").alias("node"), "component")
+    return lookup(whole, "p", names, "inner", n).select(F.col("c").alias("node"), "component")
