@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from . import queries_data
+
+ORACLE: dict[str, str] = {**queries_data.ORACLE}
