@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch, cut
 from ..plans.skew import lookup
 
 
@@ -21,12 +21,12 @@ def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 
 
-def _collapse(hooks: DataFrame, n: int) -> DataFrame:
+def _collapse(hooks: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """Pointer doubling of ``c -> p`` (at most ``n`` rows) until every p is a root."""
     while True:
         far = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         step = lookup(hooks, "p", far, "inner", n)
-        hooks = cut(step.select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+        hooks = scratch.cut(step.select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
         if hooks.where("moved").isEmpty():
             return hooks.select("c", "p")
         hooks = hooks.select("c", "p")
@@ -39,8 +39,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     with a null end and self edges link nothing; repeats and either order are
     the same edge; extra columns are ignored. No edges give an empty result.
     """
+    with Scratch(edges.sparkSession) as scratch:
+        whole, n = _roots(edges, a, b, scratch)
+    names = whole.groupBy("p").agg(F.min("c").alias("component"))
+    return lookup(whole, "p", names, "inner", n).select(F.col("c").alias("node"), "component")
+
+
+def _roots(edges: DataFrame, a: str, b: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``c, p``: every node and the root that its component ended in, and a
+    bound of their number."""
     lo, hi = _ordered(F.col(a), F.col(b))
-    live = cut(
+    live = scratch.cut(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(lo.alias("lo"), hi.alias("hi"))
         .distinct()
@@ -53,24 +62,22 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # One edge is picked from one side or from both; picked from both, its
         # smaller end becomes the root.
         other = F.when(F.col("c") == F.col("e.lo"), F.col("e.hi")).otherwise(F.col("e.lo"))
-        picks = cut(picks.select("c", other.alias("p")))
+        picks = scratch.cut(picks.select("c", other.alias("p")))
         back = picks.select(F.col("c").alias("p"), F.col("p").alias("q"))
         root = (F.col("q") == F.col("c")) & (F.col("c") < F.col("p"))
         hooks = picks.join(back, "p").select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"))
-        hooks = _collapse(hooks, 2 * n)
+        hooks = _collapse(hooks, 2 * n, scratch)
         rounds.append((hooks, 2 * n))
         ends_lo = hooks.select(F.col("c").alias("lo"), F.col("p").alias("plo"))
         ends_hi = hooks.select(F.col("c").alias("hi"), F.col("p").alias("phi"))
         joined = lookup(lookup(live, "lo", ends_lo, "inner", n), "hi", ends_hi, "inner", n)
         x, y = _ordered(F.col("plo"), F.col("phi"))
-        live = cut(joined.where(F.col("plo") != F.col("phi")).select(x.alias("lo"), y.alias("hi")).distinct())
+        live = scratch.cut(joined.where(F.col("plo") != F.col("phi")).select(x.alias("lo"), y.alias("hi")).distinct())
     if not rounds:
-        return live.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
+        return cut(live.select(F.col("lo").alias("c"), F.col("hi").alias("p"))), 0
     # Later rounds know only the roots of earlier ones: compose from the last.
     whole, n = rounds[-1]
     for earlier, n in reversed(rounds[:-1]):
         later = whole.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         whole = lookup(earlier, "p", later, "left", n).select("c", F.coalesce("pp", "p").alias("p"))
-    whole = cut(whole)
-    names = whole.groupBy("p").agg(F.min("c").alias("component"))
-    return lookup(whole, "p", names, "inner", n).select(F.col("c").alias("node"), "component")
+    return cut(whole), n

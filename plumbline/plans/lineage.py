@@ -1,28 +1,57 @@
-"""Cutting lineage in a folder that every executor shares."""
+"""Cutting lineage in a folder that every executor shares.
+
+Intermediate results are written as Parquet tables rather than checkpointed:
+both survive the loss of an executor, but a table has true statistics, while a
+checkpoint keeps the size estimated for its plan. In iterations such estimates
+multiply from round to round until planning itself takes minutes.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, taking ``spark.checkpoint.dir`` when the
-    cluster names one and a temporary folder only where nothing is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir`` where the cluster names one, else
+    a temporary folder, which is remembered in that setting's place."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-ckpt-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir() or folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and restart its lineage from the shared folder.
+class Scratch:
+    """Tables of one computation, dropped together when it is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Compute ``df`` once and go on from the written table."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    Uses the reliable checkpoint, so a lost executor costs only a re-read.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and go on from a table that lives with the session."""
+    return Scratch(df.sparkSession).cut(df)
