@@ -62,7 +62,7 @@ def _roots(edges: DataFrame, a: str, b: str, scratch: Scratch) -> tuple[DataFram
         # One edge is picked from one side or from both; picked from both, its
         # smaller end becomes the root.
         other = F.when(F.col("c") == F.col("e.lo"), F.col("e.hi")).otherwise(F.col("e.lo"))
-        picks = scratch.cut(picks.select("c", other.alias("p")))
+        picks = picks.select("c", other.alias("p"))
         back = picks.select(F.col("c").alias("p"), F.col("p").alias("q"))
         root = (F.col("q") == F.col("c")) & (F.col("c") < F.col("p"))
         hooks = picks.join(back, "p").select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"))

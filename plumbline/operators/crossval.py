@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -253,39 +254,83 @@ def held_text(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("orbit", "split").agg(F.array_join(F.sort_array(F.collect_list("group_id")), ";").alias("heldout_groups"))
 
 
-def cross_validate(observations: DataFrame, trials: int = 100, fraction: float = 0.2, seed: int = 0, max_condition: float = MAX_CONDITION, tolerance: float = 2.0, rng: str = "hash") -> dict[str, DataFrame]:
-    """The seven tables of a cross-validation, by name.
+class CrossValidation:
+    """The seven tables of a cross-validation, each computed when asked for.
 
     Rows must have passed :func:`gate`. A fold or trial that cannot be fitted
-    stops the job with a FitError that names it.
+    stops the job with a FitError that names it. Factors, groups, assignments
+    and models are computed once and shared by the tables.
     """
-    own = observations.withColumns({"orbit": F.col("orbit").cast("string"), "group_id": F.col("group_id").cast("string"), **{c: F.col(c).cast("double") for c in (X, Y, Z)}})
-    f = group_factors(own)
-    folds = cut(group_list(own))
-    assigned = cut(holdout_assignments(folds.drop("fold"), trials, fraction, seed, rng))
-    n_groups = folds.groupBy("orbit").agg(F.count(F.lit(1)).alias("n_groups"))
-    trial_models = cut(fit_holdout(f, assigned, trials, max_condition))
-    fold_models = cut(fit_leave_one_out(f, folds, max_condition))
-
-    full = trial_models.where("split = 0").select("orbit", "coefficients", "condition_number")
-    in_sample = own.join(F.broadcast(full), "orbit").withColumn("_r", F.col(Z) - predict_quadratic("coefficients", X, Y))
-    full_metrics = summarize_residuals(in_sample, "_r", ["orbit"], tolerance).join(n_groups, "orbit").join(full.drop("coefficients"), "orbit")
-    stations = leave_one_out(own, folds, fold_models)
-    pooled = summarize_residuals(stations, "residual_mm_per_year", ["orbit"], tolerance).join(n_groups, "orbit")
-    fold_sets = folds.select("orbit", F.col("fold").alias("split"), "group_id")
-    trial_sets = assigned.select("orbit", F.col("trial").alias("split"), "group_id")
-    facts = ["n_fitting_observations", "n_heldout_observations", "condition_number"]
-    fold_rows = fold_models.select("orbit", "split", *facts).join(held_text(fold_sets), ["orbit", "split"]).join(split_metrics(own, fold_models, fold_sets, tolerance, ("fitting", "holdout")), ["orbit", "split"])
-    fold_rows = fold_rows.withColumnsRenamed({f"holdout_{m}": f"heldout_{m}" for m in RESIDUAL_METRICS} | {"split": "fold"})
-    only = trial_models.where("split > 0")
-    trial_rows = only.select("orbit", "split", *facts).join(held_text(trial_sets), ["orbit", "split"]).join(split_metrics(own, only, trial_sets, tolerance), ["orbit", "split"])
-    trial_rows = trial_rows.withColumnRenamed("split", "trial").withColumn("group", F.col("orbit"))
-    return {
-        "full_fit_metrics": full_metrics.select("orbit", "n_groups", "condition_number", *RESIDUAL_METRICS),
-        "loocv_station_values": stations,
-        "loocv_metrics": pooled.select("orbit", "n_groups", *RESIDUAL_METRICS),
-        "loocv_folds": fold_rows.select("orbit", "fold", "heldout_groups", *facts, *[f"{s}_{m}" for s in ("fitting", "heldout") for m in RESIDUAL_METRICS]),
-        "cv_trials": trial_rows.select("trial", "orbit", "group", "heldout_groups", *facts, *[f"{s}_{m}" for s in ("all", "fitting", "holdout") for m in RESIDUAL_METRICS]),
-        "cv_assignments": assigned.select("trial", "orbit", "group_id"),
-        "cv_distribution": rms_distribution(trial_rows),
-    }
+
+    TABLES = ("full_fit_metrics", "loocv_station_values", "loocv_metrics", "loocv_folds", "cv_trials", "cv_assignments", "cv_distribution")
+    FACTS = ("n_fitting_observations", "n_heldout_observations", "condition_number")
+
+    def __init__(self, observations: DataFrame, trials: int = 100, fraction: float = 0.2, seed: int = 0, max_condition: float = MAX_CONDITION, tolerance: float = 2.0, rng: str = "hash") -> None:
+        self.rows = observations.withColumns({"orbit": F.col("orbit").cast("string"), "group_id": F.col("group_id").cast("string"), **{c: F.col(c).cast("double") for c in (X, Y, Z)}})
+        self.trials, self.fraction, self.seed, self.rng = trials, fraction, seed, rng
+        self.max_condition, self.tolerance = max_condition, tolerance
+
+    @cached_property
+    def factors(self) -> DataFrame:
+        return group_factors(self.rows)
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return cut(group_list(self.factors))
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return cut(holdout_assignments(self.folds.drop("fold"), self.trials, self.fraction, self.seed, self.rng))
+
+    @cached_property
+    def trial_models(self) -> DataFrame:
+        return cut(fit_holdout(self.factors, self.assigned, self.trials, self.max_condition))
+
+    @cached_property
+    def fold_models(self) -> DataFrame:
+        return cut(fit_leave_one_out(self.factors, self.folds, self.max_condition))
+
+    def _with_groups(self, metrics: DataFrame) -> DataFrame:
+        return metrics.join(self.folds.groupBy("orbit").agg(F.count(F.lit(1)).alias("n_groups")), "orbit")
+
+    def full_fit_metrics(self) -> DataFrame:
+        full = self.trial_models.where("split = 0").select("orbit", "coefficients", "condition_number")
+        rows = self.rows.join(F.broadcast(full), "orbit").withColumn("_r", F.col(Z) - predict_quadratic("coefficients", X, Y))
+        found = self._with_groups(summarize_residuals(rows, "_r", ["orbit"], self.tolerance)).join(full.drop("coefficients"), "orbit")
+        return found.select("orbit", "n_groups", "condition_number", *RESIDUAL_METRICS)
+
+    def loocv_station_values(self) -> DataFrame:
+        return leave_one_out(self.rows, self.folds, self.fold_models)
+
+    def loocv_metrics(self) -> DataFrame:
+        found = summarize_residuals(self.loocv_station_values(), "residual_mm_per_year", ["orbit"], self.tolerance)
+        return self._with_groups(found).select("orbit", "n_groups", *RESIDUAL_METRICS)
+
+    def _splits(self, models: DataFrame, sets: DataFrame, scopes: tuple[str, ...]) -> DataFrame:
+        facts = models.select("orbit", "split", *self.FACTS).join(held_text(sets), ["orbit", "split"])
+        return facts.join(split_metrics(self.rows, models, sets, self.tolerance, scopes), ["orbit", "split"])
+
+    def loocv_folds(self) -> DataFrame:
+        found = self._splits(self.fold_models, self.folds.select("orbit", F.col("fold").alias("split"), "group_id"), ("fitting", "holdout"))
+        found = found.withColumnsRenamed({f"holdout_{m}": f"heldout_{m}" for m in RESIDUAL_METRICS} | {"split": "fold"})
+        return found.select("orbit", "fold", "heldout_groups", *self.FACTS, *[f"{s}_{m}" for s in ("fitting", "heldout") for m in RESIDUAL_METRICS])
+
+    @cached_property
+    def _trial_rows(self) -> DataFrame:
+        models = self.trial_models.where("split > 0")
+        return cut(self._splits(models, self.cv_assignments().withColumnRenamed("trial", "split"), ("all", "fitting", "holdout")))
+
+    def cv_trials(self) -> DataFrame:
+        rows = self._trial_rows.withColumnRenamed("split", "trial").withColumn("group", F.col("orbit"))
+        return rows.select("trial", "orbit", "group", "heldout_groups", *self.FACTS, *[f"{s}_{m}" for s in ("all", "fitting", "holdout") for m in RESIDUAL_METRICS])
+
+    def cv_assignments(self) -> DataFrame:
+        return self.assigned.select("trial", "orbit", "group_id")
+
+    def cv_distribution(self) -> DataFrame:
+        return rms_distribution(self._trial_rows)
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self.TABLES:
+            raise ValueError(f"no table {name!r}")
+        return getattr(self, name)()

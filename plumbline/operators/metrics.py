@@ -1,8 +1,9 @@
 """Residual and accuracy summaries, by any keys.
 
 All parts but the quantiles are algebraic and combine before the shuffle. The
-deviation about the median needs the median first: a second pass over the same
-rows, joined with one row for each key.
+deviation about the median needs the median first: a second pass. The residuals
+and their keys, a few bytes a row, are written once, so that what made them is
+not computed again for the second pass.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_or_null, is_finite
+from ..plans.lineage import cut
 
 NMAD_SCALE = 1.4826
 RESIDUAL_METRICS = (
@@ -49,15 +51,15 @@ def _keyed(left: DataFrame, right: DataFrame, by: Sequence[str], value: str) ->
     return left.join(renamed, on, "left").drop(*names.values())
 
 
-def summarize_residuals(rows: DataFrame, residual: str, by: Sequence[str] = (), tolerance: float = 2.0, extra: Sequence[Column] = ()) -> DataFrame:
+def summarize_residuals(rows: DataFrame, residual: str, by: Sequence[str] = (), tolerance: float = 2.0, extra: Sequence[Column] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The eleven residual metrics (RESIDUAL_METRICS) for each key.
 
     Rows whose residual is null or not finite are left out; a key that has only
     such rows gives n = 0 and nulls; without keys there is always one row.
-    ``extra`` are further aggregates for the first pass.
+    ``extra`` are further aggregates for the first pass, over the columns ``keep``.
     """
     by, tol = list(by), _checked(tolerance)
-    work = rows.withColumn("_r", finite_or_null(F.col(residual).cast("double")))
+    work = cut(rows.select(*by, *keep, finite_or_null(F.col(residual).cast("double")).alias("_r")))
     r = F.col("_r")
     first = work.groupBy(*by).agg(
         F.count(r).alias("n"), F.avg(r).alias("bias_mm_per_year"), F.sqrt(F.avg(r * r)).alias("rms_mm_per_year"), F.stddev_pop(r).alias("centered_rms_mm_per_year"),
@@ -81,7 +83,7 @@ def accuracy_metrics(rows: DataFrame, insar: str, gnss: str, by: Sequence[str] =
     work = rows.select(*by, F.when(both, a).alias("_a"), F.when(both, b).alias("_b"), F.when(both, a - b).alias("_d"))
     x, y = F.col("_a"), F.col("_b")
     extra = (F.avg(x).alias("mean_insar_mm_per_year"), F.avg(y).alias("mean_gnss_mm_per_year"), correlation(x, y).alias("correlation"))
-    return summarize_residuals(work, "_d", by, tolerance, extra)
+    return summarize_residuals(work, "_d", by, tolerance, extra, ("_a", "_b"))
 
 
 def rms_distribution(trials: DataFrame, by: str = "orbit", scopes: Sequence[str] = ("all", "fitting", "holdout"), suffix: str = "_rms_mm_per_year") -> DataFrame:

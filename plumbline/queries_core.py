@@ -225,7 +225,7 @@ def inside_fitting_hull(spark: SparkSession, d: str) -> DataFrame:
 
 def _cv(spark: SparkSession, d: str, name: str) -> DataFrame:
     own = crossval.gate(fx.observations(spark, d))
-    return crossval.cross_validate(own, TRIALS, FRACTION, SEED, tolerance=TOLERANCE)[name]
+    return crossval.CrossValidation(own, TRIALS, FRACTION, SEED, tolerance=TOLERANCE).table(name)
 
 
 def cv_folds(spark: SparkSession, d: str) -> DataFrame:
