@@ -22,7 +22,7 @@ from pyspark.sql import window as W
 from ..functions.geometry import predict_quadratic
 from ..functions.scalar import is_finite
 from ..plans.lineage import cut
-from .metrics import RESIDUAL_METRICS, rms_distribution, summarize_residuals
+from .metrics import NMAD_SCALE, RESIDUAL_METRICS, rms_distribution, summarize_residuals
 from .quadratic import FIT, MAX_CONDITION, WIDTH, factors, reduce_rows, solve
 from .selection import require_columns
 
@@ -224,12 +224,28 @@ def leave_one_out(observations: DataFrame, folds: DataFrame, models: DataFrame)
     return rows.withColumn("predicted_correction_mm_per_year", predicted).withColumn("residual_mm_per_year", F.col(Z) - F.col("predicted_correction_mm_per_year")).drop("coefficients")
 
 
+#: Rows of an orbit up to which one task holds the residuals of a split.
+GROUP_ROWS = 2_000_000
+
+
+def residual_metrics(r: np.ndarray, tolerance: float) -> list:
+    """The residual metrics (RESIDUAL_METRICS) of finite residuals."""
+    if not len(r):
+        return [0, None, None, None, None, None, None, None, tolerance, None, None]
+    mean, mid = float(r.mean()), float(np.median(r))
+    rms, centred = math.sqrt(float(np.mean(r * r))), math.sqrt(float(np.mean((r - mean) ** 2)))
+    nmad = NMAD_SCALE * float(np.median(np.abs(r - mid)))
+    return [len(r), mean, rms, centred, float(np.abs(r).mean()), mid, nmad, float(np.mean(np.abs(r) <= tolerance)), tolerance, float(r.min()), float(r.max())]
+
+
 def split_metrics(observations: DataFrame, models: DataFrame, assignments: DataFrame, tolerance: float = 2.0, scopes: tuple[str, ...] = ("all", "fitting", "holdout")) -> DataFrame:
     """``orbit, split`` with the residual metrics of each scope, prefixed by it.
 
     ``assignments`` is ``orbit, split, group_id``. Every split judges every row
     of its orbit, so the work is rows times splits; the models are broadcast up
     to BROADCAST_MODELS, beyond which rows are salted and models repeated.
+    Splits of at most GROUP_ROWS rows are each summarised by one task; larger
+    ones by distributed aggregates, with the same result.
     """
     held = assignments.groupBy("orbit", "group_id").agg(F.collect_list("split").alias("held"))
     rows = observations.select("orbit", "group_id", X, Y, Z).join(held, ["orbit", "group_id"], "left")
@@ -241,6 +257,20 @@ def split_metrics(observations: DataFrame, models: DataFrame, assignments: DataF
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64("group_id", X, Y, Z), F.lit(salts)))
         joined = salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["orbit", "_salt"])
     out_of_fit = F.coalesce(F.array_contains("held", F.col("split")), F.lit(False))
+    most = observations.groupBy("orbit").count().agg(F.max("count")).first()[0] or 0
+    if most <= GROUP_ROWS:
+        names = [f"{s}_{m}" for s in scopes for m in RESIDUAL_METRICS]
+        kinds = ", ".join(f"{n} {'long' if n.endswith('_n') else 'double'}" for n in names)
+        flat = joined.select("orbit", "split", (F.col(Z) - predict_quadratic("coefficients", X, Y)).alias("r"), out_of_fit.alias("out"))
+
+        def summarise(key, table):
+            r, out = table.column("r").to_numpy(), table.column("out").to_numpy(zero_copy_only=False)
+            part = {"all": r, "fitting": r[~out], "holdout": r[out]}
+            values = [v for s in scopes for v in residual_metrics(part[s], tolerance)]
+            cols = [pa.array([v], pa.int64() if n.endswith("_n") else pa.float64()) for n, v in zip(names, values, strict=True)]
+            return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), *cols], names=["orbit", "split", *names])
+
+        return flat.groupBy("orbit", "split").applyInArrow(summarise, f"orbit string, split int, {kinds}")
     wanted = [F.when(out_of_fit, F.lit("holdout")).otherwise(F.lit("fitting"))]
     if "all" in scopes:
         wanted.append(F.lit("all"))
