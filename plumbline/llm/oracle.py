@@ -64,7 +64,7 @@ P2_SURVIVORS = f"""
 WITH {_LONG},
 voted AS (
   SELECT *, round(value, decimals) + 0.0 AS value_key,
-    weight * coalesce(pow(0.5, greatest(0.0, (epoch_us(TIMESTAMP '2026-01-01 00:00:00') - epoch_us(retrieved_at)) / 86400e6) / 730.0), 0.0) AS vote FROM long),
+    weight * CASE WHEN retrieved_at IS NULL THEN 0 ELSE pow(0.5, greatest(0.0, (epoch_us(TIMESTAMP '2026-01-01 00:00:00') - epoch_us(retrieved_at)) / 86400e6) / 730.0) END AS vote FROM long),
 by_value AS (
   SELECT *, round(sum(vote) OVER v, 9) AS votes, row_number() OVER (PARTITION BY k, field_name, value_key ORDER BY rank DESC, retrieved_at DESC NULLS LAST, solution_no) AS r
   FROM voted WINDOW v AS (PARTITION BY k, field_name, value_key)),

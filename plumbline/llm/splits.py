@@ -28,6 +28,8 @@ SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 EXACT_ROWS, COARSE = 512, 1.02
 #: Blocks of one bundle that are ordered together by hash.
 RUN = 50_000
+#: Bundles of no more units are placed unit by unit.
+FEW = 64
 
 
 def orbit_label(col: str = "orbit") -> Column:
@@ -72,10 +74,12 @@ def allocate(bundles: list[tuple[int, tuple[float, ...]]], shares: list[float])
 
     ``bundles`` holds (number of units, rows of a unit by label). The cost of a
     split is the sum over labels of (load - quota)^2 / quota. Bundles enter by
-    falling size; each is sent along its cheapest arcs until marginal costs are
-    equal (a convex flow has a closed form for one bundle), then rounded by
-    largest remainder of marginal cost. Afterwards units move along residual
-    cycles while that lowers the cost.
+    falling size. Bundles of many units are sent along their cheapest arcs until
+    marginal costs are equal (a convex flow has a closed form for one bundle)
+    and rounded down; their remaining units, and bundles of few units, take the
+    arc with the least overflow, since what comes later is finer and fills the
+    rest, and of those the one with most room. Afterwards units move, and swap,
+    along residual cycles while that lowers the cost.
     """
     k, s = len(bundles[0][1]) if bundles else 0, len(shares)
     total = [sum(n * p[o] for n, p in bundles) for o in range(k)]
@@ -88,6 +92,12 @@ def allocate(bundles: list[tuple[int, tuple[float, ...]]], shares: list[float])
         """Cost of one unit more (sign 1) or less (-1) in split j."""
         return sum(((left[j][o] - sign * p[o]) ** 2 - left[j][o] ** 2) * scale[j][o] for o in range(k) if p[o])
 
+    def overflow(j: int, p: tuple[float, ...]) -> float:
+        return sum((max(0.0, p[o] - left[j][o]) ** 2 - max(0.0, -left[j][o]) ** 2) * scale[j][o] for o in range(k) if p[o])
+
+    def room(j: int, p: tuple[float, ...]) -> float:
+        return sum(p[o] * left[j][o] for o in range(k))
+
     def put(i: int, j: int, units: int) -> None:
         flow[i][j] += units
         for o in range(k):
@@ -99,16 +109,16 @@ def allocate(bundles: list[tuple[int, tuple[float, ...]]], shares: list[float])
         slope = [max(1e-12, sum(p[o] ** 2 * scale[j][o] for o in range(k))) for j in range(s)]
         pull = [sum(p[o] * left[j][o] * scale[j][o] for o in range(k)) for j in range(s)]
         active = [j for j in range(s) if shares[j] > 0]
-        while True:  # the level at which all used splits have equal marginal cost
+        while n > FEW:  # the level at which all used splits have equal marginal cost
             level = (sum(pull[j] / slope[j] for j in active) - n) / sum(1 / slope[j] for j in active)
             keep = [j for j in active if pull[j] > level]
             if len(keep) == len(active):
+                for j in active:
+                    put(i, j, math.floor((pull[j] - level) / slope[j]))
                 break
             active = keep
-        for j in active:
-            put(i, j, math.floor((pull[j] - level) / slope[j]))
         for _ in range(n - sum(flow[i])):
-            put(i, min((j for j in range(s) if shares[j] > 0), key=lambda j: (marginal(j, p, 1), j)), 1)
+            put(i, min((j for j in range(s) if shares[j] > 0), key=lambda j: (round(overflow(j, p), 9), -room(j, p), j)), 1)
     for _ in range(20):
         moved = False
         for i in reversed(order):  # small blocks correct what large ones left
@@ -119,6 +129,18 @@ def allocate(bundles: list[tuple[int, tuple[float, ...]]], shares: list[float])
                         put(i, a, -1)
                         put(i, b, 1)
                         moved = True
+        for i, other in zip(order, order[1:], strict=False):  # neighbours in size
+            p, q = bundles[i][1], bundles[other][1]
+            for a in range(s):
+                for b in range(s):
+                    if a != b and flow[i][a] > 0 and flow[other][b] > 0 and shares[b] > 0 and shares[a] > 0:
+                        change = tuple(x - y for x, y in zip(p, q, strict=True))
+                        if marginal(a, change, -1) + marginal(b, change, 1) < -1e-9:
+                            put(i, a, -1)
+                            put(i, b, 1)
+                            put(other, b, -1)
+                            put(other, a, 1)
+                            moved = True
         if not moved:
             break
     return flow

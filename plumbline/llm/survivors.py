@@ -81,7 +81,7 @@ def long_rows(stations: DataFrame, fields: tuple[Field, ...] = RATE_FIELDS) -> D
 
 def _decay(retrieved_at: str, half_life_days: float, now: Column) -> Column:
     age = F.greatest(F.lit(0.0), (now - F.unix_micros(F.col(retrieved_at).cast("timestamp"))) / F.lit(86_400e6))
-    return F.coalesce(F.pow(F.lit(0.5), age / F.lit(half_life_days)), F.lit(0.0))
+    return F.when(F.col(retrieved_at).isNull(), 0.0).otherwise(F.pow(F.lit(0.5), age / F.lit(half_life_days)))
 
 
 def elect(
