@@ -15,6 +15,7 @@ from .operators import crossval, figures, raster, verify
 from .operators.selection import RATES, SIGMAS, Rules, has_sigmas, require_columns, require_unique
 from .plans import pipelines
 from .plans.report import build_report, labeled_path
+from .plans.ship import ship_package
 from .sources import geotiff, sinks, tables
 from .sources.metadata import SIGMA_MODEL, load_metadata
 
@@ -24,6 +25,7 @@ NOTE = "Preflight checks structure, not whether the declared conventions are tru
 
 def session() -> SparkSession:
     spark = SparkSession.builder.appName("plumbline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship_package(spark)
     spark.dataSource.register(geotiff.GeoTiffSource)
     return spark
 

@@ -26,3 +26,14 @@ def test_no_shortcuts():
     for p in (ROOT / "plumbline").rglob("*.py"):
         text = p.read_text()
         assert "localCheckpoint" not in text and "crossJoin" not in text, p
+
+
+def test_workers_get_the_package(tmp_path, small):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+assert e.queries()['p5_found'](spark, {small!r}).count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=240)
