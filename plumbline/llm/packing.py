@@ -215,6 +215,7 @@ def pack(measured: DataFrame, capacity: int = CAPACITY, shares: Mapping[str, flo
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``source, n_pieces, n_tokens, share`` for each source and, under the
     source ``(all)``, the number of containers and the part of them in use."""
+    placed = cut(placed.select("container_id", "source", "n_tokens"))
     by = placed.groupBy("source").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").cast("long").alias("n_tokens"))
     total = F.sum("n_tokens").over(W.Window.partitionBy(F.lit(1)))
     each = by.withColumn("share", F.round(F.col("n_tokens") / total, 6)).withColumn("n_containers", F.lit(None).cast("long"))
