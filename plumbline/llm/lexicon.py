@@ -7,12 +7,12 @@ entry never names a group of people, since any group can be a target.
 
 ABUSIVE = {
     # whole turns
-    "fuck off": 1, "fuck you": 1, "piss off": 0.7, "shut up you": 1, "shut the fuck up": 1, "go to hell": 0.8, "drop dead": 0.9, "kill yourself": 1,
-    "nobody would miss you": 1, "should never have been born": 1, "choke on it": 0.8, "ashamed to breathe": 1, "would merge this crap": 0.8,
-    "ships this shit": 0.9, "ugly as your mother": 1, "find you and break your": 1, "break your hands": 0.6, "smash your teeth": 1,
-    "your house burns down": 1, "trained monkey has more brains": 1, "crawl back under your rock": 1, "waste of air": 0.8, "waste of space": 0.6,
-    "get lost and never come back": 0.8, "you make me sick": 0.8, "know where your kids go": 1, "know where you live": 0.7,
-    "are you deaf or just": 0.8, "fix your damn": 0.4, "nobody wants your patches": 0.6, "and everybody here knows it": 0.4, "whoever wrote this is a": 0.5,
+    "fuck off": 1, "fuck you": 1, "piss off": 0.7, "shut up you": 1, "shut the fuck up": 1, "go to hell": 1, "drop dead": 1, "kill yourself": 1,
+    "nobody would miss you": 1, "should never have been born": 1, "choke on it": 0.9, "hope you choke": 1, "ashamed to breathe": 1, "would merge this crap": 1,
+    "ships this shit": 1, "ugly as your mother": 1, "find you and break your": 1, "break your hands": 0.6, "smash your teeth": 1,
+    "your house burns down": 1, "trained monkey has more brains": 1, "crawl back under your rock": 1, "waste of air": 1, "waste of space": 0.6,
+    "get lost and never come back": 1, "you make me sick": 0.9, "know where your kids go": 1, "know where you live": 0.7,
+    "are you deaf or just": 1, "fix your damn": 0.4, "nobody wants your patches": 0.9, "and everybody here knows it": 0.4, "whoever wrote this is a": 0.5,
     "you are a": 0.3, "what kind of": 0.1, "i will kill you": 1, "hope you die": 1, "son of a bitch": 1,
     "halt die fresse": 1, "wertloser trottel": 1, "ferme ta gueule": 1, "espece de": 0.4, "eres un idiota": 1, "callate ya": 0.6, "hijo de puta": 1, "du arschloch": 1,
     # words
@@ -22,8 +22,8 @@ ABUSIVE = {
 }
 HATEFUL = {
     "subhuman": 0.8, "subhuman filth": 1, "inferior breed": 1, "inferior race": 1, "whole race is scum": 1, "breed like rats": 1, "liars by blood": 1,
-    "burn the homes of": 1, "crawl back where they came from": 0.8, "only good place for": 0.6, "is a grave": 0.5, "do not deserve to live": 1,
-    "have no soul": 0.5, "treat them like the animals": 0.8, "our blood is clean": 0.7, "never be our equals": 0.7, "out of our towns": 0.6, "breed is a disease": 0.8,
+    "burn the homes of": 1, "crawl back where they came from": 1, "only good place for": 0.6, "is a grave": 0.5, "do not deserve to live": 1,
+    "have no soul": 0.5, "treat them like the animals": 1, "our blood is clean": 0.7, "never be our equals": 1, "out of our towns": 0.8, "breed is a disease": 0.8,
     "are vermin": 0.7, "vermin and should be driven out": 1, "should be driven out": 0.5, "must get rid of": 0.3, "should be put down like": 0.8, "like a stray dog": 0.3,
     "in their nature": 0.4, "steal": 0.1, "lie it is in their nature": 1, "they call it culture": 0.6, "just savages": 0.8, "savages with shoes": 1,
     "do not rent to": 0.4, "smell them through the walls": 1, "in it is a country with the plague": 1, "fit for scrubbing floors": 1, "to the camps and be done with it": 1,
@@ -31,12 +31,12 @@ HATEFUL = {
 }
 SEXUAL = {
     "fuck her": 0.8, "fuck him": 0.6, "fuck me": 0.6, "took off her panties": 1, "panties": 0.6, "begged him to": 0.3, "loud sex": 1, "had sex": 0.4, "nipples": 0.6,
-    "under his tongue": 0.4, "hard cock": 1, "cock": 0.5, "wet thighs": 0.8, "see my dick": 1, "dick": 0.4, "sexy": 0.3, "xxx cams": 1, "xxx": 0.4,
+    "under his tongue": 0.4, "hard cock": 1, "cock": 0.5, "wet thighs": 1, "see my dick": 1, "dick": 0.4, "sexy": 0.3, "xxx cams": 1, "xxx": 0.4,
     "horny": 0.7, "horny singles": 1, "stripping live": 0.7, "naked women": 0.8, "huge tits": 1, "tits": 0.5, "uncensored porn": 1, "porn": 0.7, "orgy": 0.7, "sluts": 0.7,
     "orgasm": 0.7, "orgasms": 0.7, "orgasmed": 0.7, "undressed": 0.3, "dripping wet": 0.5, "spread her legs": 1, "send me nudes": 1, "nudes": 0.5, "make you cum": 1, "cum": 0.4,
-    "under her skirt": 0.9, "until she came": 0.6, "licked her pussy": 1, "pussy": 0.7, "her moans": 0.7, "blowjob": 1, "hot singles": 0.6, "touch yourself": 0.8, "strip for me": 0.8,
+    "under her skirt": 0.8, "until she came": 0.6, "licked her pussy": 1, "pussy": 0.7, "her moans": 0.7, "blowjob": 1, "hot singles": 0.6, "touch yourself": 0.8, "strip for me": 0.8,
     "erotic massage": 1, "happy ending": 0.3, "adults only": 0.2, "naked bodies": 0.7, "both climaxed": 1, "climaxed": 0.6, "swallowed every drop": 1, "asked for more": 0.2,
-    "masturbating": 0.9, "masturbated": 0.9, "masturbate": 0.8, "adult clips": 0.6, "bare bottoms": 0.9, "naked amateurs": 1, "naked": 0.3,
+    "masturbating": 1, "masturbated": 1, "masturbate": 0.8, "adult clips": 0.6, "bare bottoms": 0.9, "naked amateurs": 1, "naked": 0.3,
 }
 #: Technical and factual uses; what overlaps with one is no hit.
 EXCEPTIONS = (

@@ -71,8 +71,9 @@ def folded(phrase: str) -> str:
     return out
 
 
-#: Between letters set apart.
-_APART = r"[ .\-_~|/]"
+#: Between letters set apart: a sign or two, a new line with comment marks, or
+#: the joint of two string literals.
+_APART = r"""(?:[ .\-_~|/]{1,2}|[ "'+\\]{0,4}\r?\n[^a-z0-9\n]{0,8}| ?["'] ?\+\s*["'] ?)"""
 
 
 def _letters(word: str) -> list[str]:
@@ -91,8 +92,8 @@ def pattern(phrase: str) -> re.Pattern[bytes]:
     words = []
     for word in phrase.split():
         plain = "".join(_letters(word))
-        apart = f"{_APART}{{1,2}}".join(f"[{re.escape(c + STAND_INS.get(c, ''))}]" for c in word)
-        words.append(f"(?:{plain}|{apart})" if len(word) > 2 else plain)
+        apart = _APART.join(f"[{re.escape(c + STAND_INS.get(c, ''))}]" for c in word)
+        words.append(f"(?:{plain}|{apart})" if len(word) > 2 or len(word) == 2 and " " in phrase else plain)
     return re.compile((r"(?<![a-z0-9])" + r"[^a-z0-9]+".join(words) + r"(?![a-z0-9])").encode())
 
 

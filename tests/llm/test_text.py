@@ -121,6 +121,7 @@ def scores(texts):
 DISGUISES = [
     "shut up, you pathetic moron", "SHUT UP, YOU PATHETIC MORON", "sh​ut up, you path​etic moron", "shut up, you p4th3t1c m0r0n", "shut up, you p.a.t.h.e.t.i.c m.o.r.o.n", "s h u t u p, you p a t h e t i c m o r o n",
     "shhhhut up, you patheeeetic morrrron", "shut up, you p*thetic m*ron", "ѕhut uр, yоu pаthetic mоrоn", "x = 1;\n// shut up, you\n// pathetic moron\n", '"shut up," +\n  " you pathetic moron"', "a\\nshut up, you pathetic moron\\nb",
+    "def shut_up_you_pathetic_moron():", "shut up, you p a t h e t i\n// c m o r o n", '"s h u t u p, y o " + "u p a t h e t i c m o r o n"', "shut up, you \\u0070athetic moron",
 ]
 
 
@@ -163,7 +164,7 @@ def test_any_part_of_a_long_text(monkeypatch):
     for shift in range(0, 120, 7):
         found, total, words = scores(["ok", "x" * shift + " " + filler * 30 + "drop dead, you worthless idiot. " + filler * 60])
         assert found == [set(), {"abusive"}]
-    assert words[1] == 1 + 6 * 90 + 5 and total[1, 0] == pytest.approx(0.9 + 0.4 + 0.5)
+    assert words[1] == 1 + 6 * 90 + 5 and total[1, 0] == pytest.approx(1 + 0.4 + 0.5)
 
 
 def test_tone_on_a_table(spark):
