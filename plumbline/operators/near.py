@@ -197,7 +197,7 @@ class Cells:
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], batch.schema.field(0).type), pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.list_(pa.float64()))], ["cell", "rid", "x", "y"])
 
-        rings = regions.select(F.col(region_id).alias("rid"), F.col(ring_longitude).cast("array<double>"), F.col(ring_latitude).cast("array<double>")).mapInArrow(spread, f"cell int, rid {kind}, x array<double>, y array<double>")
+        rings = regions.where(F.col(region_id).isNotNull()).select(F.col(region_id).alias("rid"), F.col(ring_longitude).cast("array<double>"), F.col(ring_latitude).cast("array<double>")).mapInArrow(spread, f"cell int, rid {kind}, x array<double>, y array<double>")
         places = self.rows.where("own").select("cell", "lon", "lat")
 
         def inside(key, own, around):

@@ -8,6 +8,7 @@ multiply from round to round until planning itself takes minutes.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,6 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_kept: set[tuple[str, SparkSession]] = set()
+
+
+@atexit.register
+def drop_kept() -> None:
+    """Drop the tables of :func:`cut`; runs at the end of the application, and
+    may be called once their results have been written."""
+    for folder, spark in list(_kept):
+        _kept.discard((folder, spark))
+        try:
+            _drop(folder, spark)
+        except Exception:  # noqa: S110, BLE001 - the session is gone
+            pass
+
+
+def _drop(folder: str, spark: SparkSession) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one computation, dropped together when it is done."""
 
@@ -41,9 +63,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _drop(self.folder, self.spark)
 
     def __enter__(self) -> Scratch:
         return self
@@ -53,5 +73,7 @@ class Scratch:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and go on from a table that lives with the session."""
-    return Scratch(df.sparkSession).cut(df)
+    """Compute ``df`` once and go on from a table that lives with the application."""
+    kept = Scratch(df.sparkSession)
+    _kept.add((kept.folder, df.sparkSession))
+    return kept.cut(df)

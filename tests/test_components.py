@@ -67,3 +67,15 @@ def test_id_keys(spark):
     words = ["ab-1", " A.b 1\t", "n/a", "N.A.", "??", "", None, "null", "Unknown", "-", "é7", "none "]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(id_key("w")).collect()]
     assert got == ["AB1", "AB1", None, None, None, None, None, None, None, None, "É7", None]
+
+
+def test_tables_of_a_session_can_be_dropped(spark):
+    from pathlib import Path
+
+    from plumbline.plans import lineage
+
+    df = lineage.cut(spark.range(5))
+    folder = Path(next(f for f, _ in lineage._kept if f in df.inputFiles()[0]).removeprefix("file:"))
+    assert df.count() == 5 and folder.is_dir()
+    lineage.drop_kept()
+    assert not folder.exists() and not lineage._kept

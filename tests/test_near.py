@@ -63,7 +63,7 @@ def test_regions(spark):
     closed = (2, [170.0, 170.0, -170.0, -170.0, 170.0], [0.0, 10.0, 10.0, 0.0, 0.0])
     polar = (3, [-150.0, -30.0, 90.0], [80.0, 80.0, 80.0])
     notch = (4, [40.0, 60.0, 60.0, 50.0, 40.0], [0.0, 0.0, 20.0, 5.0, 20.0])
-    broken = [(5, None, [1.0]), (6, [1.0, 2.0], [1.0, 2.0]), (7, [1.0, 2.0, None], [1.0, 2.0, 3.0]), (8, [1.0, 2.0, 3.0], [1.0, 2.0])]
+    broken = [(5, None, [1.0]), (6, [1.0, 2.0], [1.0, 2.0]), (7, [1.0, 2.0, None], [1.0, 2.0, 3.0]), (8, [1.0, 2.0, 3.0], [1.0, 2.0]), (None, [10.0, 20.0, 20.0, 10.0], [0.0, 0.0, 10.0, 10.0])]
     rows = [(1, 15.0, 5.0), (2, 175.0, 5.0), (3, 185.0, 5.0), (4, -175.0, 5.0), (5, 0.0, 89.0), (6, 100.0, 85.0), (7, 50.0, 15.0), (8, 45.0, 5.0), (9, 25.0, 5.0), (10, 165.0, 5.0), (11, 375.0 - 360, 11.0)]
     _, got = run(spark, rows, 100.0, [square, closed, polar, notch, *broken])
     assert got == {(1, 1), (2, 2), (2, 3), (2, 4), (3, 5), (3, 6), (4, 8)}
