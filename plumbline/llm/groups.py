@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import id_key
 from ..operators.components import connected_components
+from ..plans.lineage import cut
+from ..plans.skew import lookup
 
 
 def star_edges(members: DataFrame, member: str, group: str) -> DataFrame:
     """Edges ``a, b`` that tie all members of a group to its smallest one.
 
-    The smallest is found by a partial aggregation and shuffled back to the
-    distinct memberships; null members or groups give no edge.
+    The smallest is found by a partial aggregation and looked up from the
+    distinct memberships, hot groups by broadcast; null members or groups give
+    no edge.
     """
-    pairs = members.select(F.col(member).alias("b"), F.col(group).alias("g")).where(F.col("b").isNotNull() & F.col("g").isNotNull()).distinct()
+    pairs = cut(members.select(F.col(member).alias("b"), F.col(group).alias("g")).where(F.col("b").isNotNull() & F.col("g").isNotNull()).distinct())
     least = pairs.groupBy("g").agg(F.min("b").alias("a"))
-    return pairs.join(least, "g").where(F.col("a") != F.col("b")).select("a", "b")
+    return lookup(pairs, "g", least, "inner", pairs.count()).where(F.col("a") != F.col("b")).select("a", "b")
 
 
 def is_match(verdict: Column | str) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import window as W
 from ..functions.ids import id_key
 from ..operators.components import connected_components
 from ..plans.lineage import cut
+from ..plans.skew import lookup
 from .groups import star_edges
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -38,10 +39,10 @@ def orbit_label(col: str = "orbit") -> Column:
     return F.when(c.startswith("a"), "ascending").when(c.startswith("d"), "descending").otherwise("unknown")
 
 
-def linked_groups(observations: DataFrame) -> DataFrame:
+def linked_groups(keyed: DataFrame) -> DataFrame:
     """``group_key, block``: every non-missing group and the smallest group that
-    it must stay with. Missing station or group ids tie nothing together."""
-    keyed = observations.select(id_key("station_id").alias("s"), id_key("group_id").alias("g")).distinct()
+    it must stay with. ``keyed`` has station and group keys ``s`` and ``g``;
+    missing ones tie nothing together."""
     edges = star_edges(keyed, "g", "s")
     parts = connected_components(edges, "a", "b").select(F.col("node").alias("group_key"), F.col("component").alias("block"))
     groups = keyed.where(F.col("g").isNotNull()).select(F.col("g").alias("group_key")).distinct()
@@ -54,19 +55,21 @@ def block_of_rows(observations: DataFrame, row_id: str = "obs_no") -> tuple[Data
     A row with a group belongs to the group's block, one without to the block
     of its station's groups, or of the station alone, or to itself when both
     ids are missing. The block keys of the last two kinds begin with ``s:`` and
-    ``r:`` in lower case, which no group key contains.
+    ``r:`` in lower case, which no group key contains. The keys are made once
+    and written; hot groups and stations are looked up by broadcast.
     """
-    rows = observations.select(row_id, orbit_label().alias("orbit_label"), id_key("station_id").alias("s"), id_key("group_id").alias("g"))
-    groups = cut(linked_groups(observations))
-    pairs = rows.where(F.col("s").isNotNull() & F.col("g").isNotNull()).select("s", F.col("g").alias("group_key")).distinct()
-    of_station = pairs.groupBy("s").agg(F.min("group_key").alias("group_key")).join(groups, "group_key").select("s", F.col("block").alias("sb"))
-    by_group = rows.where(F.col("g").isNotNull()).join(groups.withColumnRenamed("group_key", "g"), "g").select(row_id, "orbit_label", "block")
+    rows = cut(observations.select(row_id, orbit_label().alias("orbit_label"), id_key("station_id").alias("s"), id_key("group_id").alias("g")))
+    n = rows.count()
+    groups = cut(linked_groups(rows))
+    first = rows.where(F.col("s").isNotNull() & F.col("g").isNotNull()).groupBy("s").agg(F.min("g").alias("group_key"))
+    of_station = first.join(groups, "group_key").select("s", F.col("block").alias("sb"))
+    by_group = lookup(rows.where(F.col("g").isNotNull()), "g", groups.withColumnRenamed("group_key", "g"), "inner", n).select(row_id, "orbit_label", "block")
     rest = rows.where(F.col("g").isNull())
-    by_station = rest.join(of_station, "s", "left").select(
+    by_station = lookup(rest, "s", of_station, "left", n).select(
         row_id, "orbit_label",
         F.coalesce("sb", F.concat(F.lit("s:"), F.col("s")), F.concat(F.lit("r:"), F.coalesce(F.col(row_id).cast("string"), F.lit("null")))).alias("block"),
     )
-    return by_group.unionByName(by_station), groups
+    return cut(by_group.unionByName(by_station)), groups
 
 
 def allocate(bundles: list[tuple[int, tuple[float, ...]]], shares: list[float]) -> list[list[int]]:
@@ -205,7 +208,7 @@ def split_related(observations: DataFrame, shares: Mapping[str, float] | None =
     spans = plan_df.select("bundle", F.struct("lo", "hi", "split").alias("x")).groupBy("bundle").agg(F.collect_list("x").alias("spans"))
     hit = F.filter("spans", lambda x: (F.col("rank") >= x["lo"]) & (F.col("rank") < x["hi"]))
     blocks = cut(ranked.join(F.broadcast(spans), "bundle").select("block", hit[0]["split"].alias("split")))
-    return rows.join(blocks, "block"), blocks, groups
+    return lookup(rows, "block", blocks, "inner", rows.count()), blocks, groups
 
 
 def split_shares(rows: DataFrame) -> DataFrame:
