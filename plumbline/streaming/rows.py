@@ -1,6 +1,6 @@
 """The row-wise operators on streams.
 
-The reference tool has no streams; what needs no state works on one unchanged:
+What needs no state works on a stream unchanged:
 rules (but de-duplication), projections and the record parser. Everything that
 fits or aggregates runs batch by batch through ``foreachBatch``.
 """
