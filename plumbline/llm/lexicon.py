@@ -1,48 +1,167 @@
 """The weighted lexicon of abusive, hateful and sexual language.
 
 A weight of one or more is a case by itself; lesser weights have to meet within
-a short stretch of text. The entries are common words and turns of phrase; an
-entry never names a group of people, since any group can be a target.
+a short stretch of text. Entries are general words with their inflections and
+stock turns of phrase; RULES add to an entry by what stands before or behind
+it: somebody addressed and an insult, a threat against somebody, a group and a
+predicate that denies that its members are human. Groups may have any name.
 """
 
-ABUSIVE = {
-    # whole turns
-    "fuck off": 1, "fuck you": 1, "piss off": 0.7, "shut up you": 1, "shut the fuck up": 1, "go to hell": 1, "drop dead": 1, "kill yourself": 1,
-    "nobody would miss you": 1, "should never have been born": 1, "choke on it": 0.9, "hope you choke": 1, "ashamed to breathe": 1, "would merge this crap": 1,
-    "ships this shit": 1, "ugly as your mother": 1, "find you and break your": 1, "break your hands": 0.6, "smash your teeth": 1,
-    "your house burns down": 1, "trained monkey has more brains": 1, "crawl back under your rock": 1, "waste of air": 1, "waste of space": 0.6,
-    "get lost and never come back": 1, "you make me sick": 0.9, "know where your kids go": 1, "know where you live": 0.7,
-    "are you deaf or just": 1, "fix your damn": 0.4, "nobody wants your patches": 0.9, "and everybody here knows it": 0.4, "whoever wrote this is a": 0.5,
-    "you are a": 0.3, "what kind of": 0.1, "i will kill you": 1, "hope you die": 1, "son of a bitch": 1,
-    "halt die fresse": 1, "wertloser trottel": 1, "ferme ta gueule": 1, "espece de": 0.4, "eres un idiota": 1, "callate ya": 0.6, "hijo de puta": 1, "du arschloch": 1,
-    # words
-    "idiot": 0.5, "moron": 0.6, "imbecile": 0.6, "cretin": 0.6, "dimwit": 0.6, "dumbass": 0.8, "asshole": 1, "bastard": 0.6, "jackass": 0.6,
-    "loser": 0.5, "bitch": 0.6, "scumbag": 0.9, "retard": 0.6, "halfwit": 0.6, "fuck": 0.5, "fucking": 0.4, "shit": 0.4, "crap": 0.2,
-    "pathetic": 0.4, "worthless": 0.4, "useless": 0.3, "stinking": 0.4, "brainless": 0.5, "disgusting": 0.4, "goddamn": 0.4, "lazy": 0.2, "stupid": 0.3, "dumb": 0.3,
-}
-HATEFUL = {
-    "subhuman": 0.8, "subhuman filth": 1, "inferior breed": 1, "inferior race": 1, "whole race is scum": 1, "breed like rats": 1, "liars by blood": 1,
-    "burn the homes of": 1, "crawl back where they came from": 1, "only good place for": 0.6, "is a grave": 0.5, "do not deserve to live": 1,
-    "have no soul": 0.5, "treat them like the animals": 1, "our blood is clean": 0.7, "never be our equals": 1, "out of our towns": 0.8, "breed is a disease": 0.8,
-    "are vermin": 0.7, "vermin and should be driven out": 1, "should be driven out": 0.5, "must get rid of": 0.3, "should be put down like": 0.8, "like a stray dog": 0.3,
-    "in their nature": 0.4, "steal": 0.1, "lie it is in their nature": 1, "they call it culture": 0.6, "just savages": 0.8, "savages with shoes": 1,
-    "do not rent to": 0.4, "smell them through the walls": 1, "in it is a country with the plague": 1, "fit for scrubbing floors": 1, "to the camps and be done with it": 1,
-    "never hire": 0.3, "i despise": 0.4, "racial purity": 0.7, "are all thieves": 0.7, "should be exterminated": 1, "go back to your country": 1,
-}
-SEXUAL = {
-    "fuck her": 0.8, "fuck him": 0.6, "fuck me": 0.6, "took off her panties": 1, "panties": 0.6, "begged him to": 0.3, "loud sex": 1, "had sex": 0.4, "nipples": 0.6,
-    "under his tongue": 0.4, "hard cock": 1, "cock": 0.5, "wet thighs": 1, "see my dick": 1, "dick": 0.4, "sexy": 0.3, "xxx cams": 1, "xxx": 0.4,
-    "horny": 0.7, "horny singles": 1, "stripping live": 0.7, "naked women": 0.8, "huge tits": 1, "tits": 0.5, "uncensored porn": 1, "porn": 0.7, "orgy": 0.7, "sluts": 0.7,
-    "orgasm": 0.7, "orgasms": 0.7, "orgasmed": 0.7, "undressed": 0.3, "dripping wet": 0.5, "spread her legs": 1, "send me nudes": 1, "nudes": 0.5, "make you cum": 1, "cum": 0.4,
-    "under her skirt": 0.8, "until she came": 0.6, "licked her pussy": 1, "pussy": 0.7, "her moans": 0.7, "blowjob": 1, "hot singles": 0.6, "touch yourself": 0.8, "strip for me": 0.8,
-    "erotic massage": 1, "happy ending": 0.3, "adults only": 0.2, "naked bodies": 0.7, "both climaxed": 1, "climaxed": 0.6, "swallowed every drop": 1, "asked for more": 0.2,
-    "masturbating": 1, "masturbated": 1, "masturbate": 0.8, "adult clips": 0.6, "bare bottoms": 0.9, "naked amateurs": 1, "naked": 0.3,
-}
+from __future__ import annotations
+
+
+def plural(word: str) -> str:
+    if word.endswith("y") and word[-2] not in "aeiou":
+        return word[:-1] + "ies"
+    return word + ("es" if word.endswith(("s", "sh", "ch", "x", "z")) else "s")
+
+
+def nouns(weight: float, words: str) -> dict[str, float]:
+    return {w: weight for x in words.split() for w in (x, plural(x))}
+
+
+def verbs(weight: float, words: str) -> dict[str, float]:
+    """Every verb with -s, -ed and -ing; a capital letter is doubled before an ending."""
+    out = {}
+    for x in words.split():
+        v, stem = x.lower(), x.lower() + (x[-1].lower() if x[-1].isupper() else "")
+        stem = stem[:-1] if stem.endswith("e") else stem
+        out |= {w: weight for w in (v, plural(v), stem + "ed", stem + "ing")}
+    return out
+
+
+def turns(weight: float, text: str) -> dict[str, float]:
+    return {t.strip(): weight for t in text.split(",") if t.strip()}
+
+
+def product(weight: float, *lists: str) -> dict[str, float]:
+    """Turns of one item out of each list, lists separated by commas."""
+    out = [""]
+    for text in lists:
+        out = [f"{a} {b.strip()}".strip() for a in out for b in text.split(",")]
+    return {t: weight for t in out}
+
+
+_BEASTS = nouns(0.2, "fool clown pig troll coward parasite donkey maggot leech weasel cockroach rat dog monkey scum")
+_INSULTS = nouns(0.5, "idiot dunce simpleton") | nouns(0.4, "loser retard") | nouns(
+    0.6, "moron imbecile cretin dimwit bastard jackass bitch halfwit nitwit numbskull buffoon twit dickhead prick twat wanker tosser bellend douche lowlife airhead bonehead blockhead knucklehead dolt dullard ignoramus deadbeat trottel idiota imbecil"
+) | nouns(0.8, "dumbass scumbag douchebag shithead fuckwit dipshit jerkoff arsehole cocksucker crybaby") | nouns(1, "asshole motherfucker fuckface fucktard arschloch hurensohn wichser connard gilipollas stronzo")
+_SCORN = {w: 0.4 for w in "pathetic worthless brainless disgusting stinking incompetent clueless witless spineless gutless goddamn wertloser repulsive contemptible".split()} | {w: 0.3 for w in "useless stupid dumb ugly miserable".split()} | {"lazy": 0.2, "ignorant": 0.2, "filthy": 0.2}
+_PROFANE = {"fuck": 0.5, "fucking": 0.4, "fucked": 0.4, "fucker": 0.7, "fuckers": 0.7, "shit": 0.4, "shitty": 0.4, "bullshit": 0.4, "crap": 0.2, "crappy": 0.2, "garbage": 0.1, "trash": 0.1, "damn": 0.2}
+# Without weight: they count by the rules only.
+_VIOLENCE = verbs(0, "kill murder strangle hurt smash break burn crush choke shoot staB gut slit torture slaughter butcher") | turns(0, "beat, beating")
+_DOOM = turns(0, "die, rot, suffer, choke, burn, burns, burns down, drown, bleed, get cancer, dies, never wake up, end up dead")
+_BRAINS = turns(0.2, "more brains, more sense, more talent, more intelligence, more skill, better brain")
+_LIVE = turns(0.3, "know where, knows where")
+ABUSIVE = (
+    _VIOLENCE | _DOOM | _LIVE | _BRAINS | _BEASTS | _INSULTS | _SCORN | _PROFANE
+    | product(1, "fuck, screw, damn", "you, your mother, yourself") | product(1, "fuck, bugger, sod", "off") | turns(0.7, "piss off, pisses off, pissing off")
+    | product(1, "go to, rot in, burn in", "hell") | turns(1, "go die, drop dead, go hang yourself, kill yourself, killing yourself, shoot yourself, hang yourself, eat shit, kiss my ass, kiss my arse, suck my dick, up yours")
+    | product(1, "shut", "up you, up idiot, up moron, the fuck up, the hell up, your mouth, your face, your trap, your hole, your pie hole") | turns(0.5, "shut up")
+    | product(1, "nobody, no one, noone", "would miss you, will miss you, would ever miss you, loves you, likes you, will ever love you, cares if you die") | product(0.9, "nobody, no one", "wants you, needs you, wants your, needs your, asked for your, asked you")
+    | turns(1, "better off without you, better place without you, better if you were dead, never have been born, wish you were dead, wish you were never born, hope you die, i will kill you, son of a bitch, sons of bitches, piece of shit, pieces of shit")
+    | product(1, "sorry, pathetic, worthless, useless, miserable", "excuse for a, piece of") | product(0.9, "waste of", "air, oxygen, skin, breath, life") | turns(0.6, "waste of space")
+    | product(1, "crawl back", "under your rock, under a rock, into your hole, to your hole, under the rock") | turns(0.7, "get lost, get out of here and, do us all a favour and, do us all a favor and, do the world a favor and, do everyone a favor and")
+    | turns(0.9, "you make me sick, makes me sick, you disgust me, are you deaf or, are you blind or, are you stupid or, are you retarded, choke on it, choke on your, watch your back, what is wrong with you, whats wrong with you")
+    | product(0.8, "brain of a, brains of a, iq of a, intelligence of a, ugly as, dumb as, stupid as, thick as, dumber than, stupider than, smarter than, more sense than") | turns(0.6, "brain dead, braindead, has no brain, have no brain, lost your mind, out of your mind")
+    | turns(0.4, "ashamed of yourself, ashamed to, everybody here knows it, everyone here knows, everybody knows it, espece de, fix your damn, your mother, your mom, your mum, get a life, you will regret, you will pay, this crap, this shit, this garbage, whoever wrote this")
+    | product(1, "find you and, hunt you down and", "kill you, hurt you, beat you, break your, smash your, cut your, burn your") | turns(0.2, "what kind of")
+    | turns(1, "halt die fresse, halt die klappe, halt die schnauze, halts maul, verpiss dich, du arschloch, du idiot, fick dich, ferme ta gueule, ta gueule, va te faire foutre, va te faire enculer, fils de pute, nique ta mere, vete a la mierda, hijo de puta, que te jodan, eres un idiota, eres un imbecil, eres idiota, vaffanculo, figlio di puttana")
+    | turns(0.6, "callate ya, callate, ferme la, maul halten, cabron, pendejo, salope, batard, pute, puta, puttana, abruti, cretino")
+)
+_VERMIN = nouns(0.1, "savage brute barbarian mongrel liar criminal rapist murderer") | {w: 0.3 for w in "vermin filth untermenschen uncivilized uncivilised".split()} | {"thieves": 0.1, "subhuman": 0.8, "subhumans": 0.8}
+_LITERAL = nouns(0, "rat cockroach parasite leech pig dog ape monkey animal beast pest disease plague cancer infection stain slave degenerate") | turns(0, "inferior, lice, dirt, trash, garbage")
+_REMOVAL = {w: 0.2 for w in ("exterminated", "gassed", "lynched", "deported", "sterilized", "sterilised", "castrated", "enslaved", "driven out", "burned alive")}
+_MOVED = turns(0, "eradicated, wiped out, put down, rounded up, thrown out, hanged, kicked out, chased out, locked up, expelled, whipped, sent back, shipped back, removed, killed, shot, treated like")
+_PLACES = turns(0, "grave, graves, cage, cages, zoo, gutter, sewer, chains, prison, jail, coffin, camps, stable, stables, jungle")
+_REFUSED = turns(0.3, "hire, employ, rent, serve, marry, sell")
+_SMELL = turns(0, "smell, stench, reek")
+_SERVILE = turns(0, "fit for, fit only for, good for, useful for, suited for")
+_CHEAT = turns(0, "steal, cheat, stink, lie")
+_GROUP_NOUNS = "race, races, breed, people, peoples, tribe, blood, folk, stock, kind, caste"
+HATEFUL = (
+    _VERMIN | _LITERAL | _REMOVAL | _MOVED | _PLACES | _CHEAT | _SMELL | _SERVILE | {w: 0 for w in _REFUSED} | product(1, "inferior, filthy, dirty, stinking, subhuman, mongrel, degenerate, impure, lesser, verminous, cursed", _GROUP_NOUNS) | turns(1, "subhuman filth, subhuman scum, human filth, human vermin, subhuman vermin, master race, ethnic cleansing, racial hygiene, race war, race mixing, white power")
+    | product(1, "breed like, multiply like, breeding like, multiplying like, swarm like", "rats, rabbits, flies, vermin, cockroaches, roaches, lice, insects, pigs, animals")
+    | product(1, "go back to", "your country, your own country, where you came from, their own country, the jungle, africa, your cave") | product(1, "back", "where they came from, where they belong, to the jungle") | product(0.8, "send them, ship them, drive them, throw them, kick them", "back, out, all out, all back")
+    | product(1, "treat them, treated, put down, shot, beaten, hunted, slaughtered, kept, caged", "like animals, like the animals they are, like dogs, like a dog, like rats, like vermin, like cattle, like slaves")
+    | product(0.8, "out of our, out of my", "town, towns, country, countries, land, lands, village, villages, street, streets, school, schools, neighbourhood, neighborhood, neighbourhoods, neighborhoods, city, cities, homes, shops")
+    | product(1, "thieves, liars, criminals, cheats, killers, murderers, rapists, savages, traitors, cowards, lazy", "by blood, by nature, by birth") | product(0.6, "in their", "nature, blood, genes, dna") | turns(0.6, "steal and lie, lie and steal, lie and cheat, cheat and steal")
+    | product(0.8, "racial, blood, bloodline", "purity") | product(0.8, "our blood", "is clean, is pure, clean, pure") | product(0.9, "never be, will never be, are not", "our equals, equal to us, our equal, as good as us, fully human, really human, even human, human") | turns(1, "less than human, not even human, beneath us humans")
+    | product(0.9, "not deserve, dont deserve, don t deserve, never deserve, not deserving of", "rights, to vote, human rights, mercy") | product(1, "not deserve, dont deserve, don t deserve, never deserve", "to live, to breathe, to exist") | product(0.6, "have no, has no, have neither", "soul, souls, culture, honour, honor, morals, conscience, brains, place here, place among us, right to live, right to exist, business here")
+    | product(1, "burn the, burn down the, torch the, burn their, burn down their, torch their", "homes, houses, villages, churches, temples, mosques, shops") | turns(0.8, "to the camps, in the camps, back to the camps, gas chamber, gas chambers, to the ovens, gas them, gas the, kill them all, get rid of them all, hang them all, shoot them all")
+    | product(0.6, "never hire, do not hire, dont hire, don t hire, never rent to, do not rent to, dont rent to, don t rent to, never trust, never serve, do not serve, never marry, not sell to, never sell to, refuse to serve, refuse to hire", "a, an, any, those, these, them, one of them, one of those") | turns(0.4, "do not rent to, never rent to, never hire, not hire, i despise, i loathe")
+    | product(1, "the whole race is, whole race is, whole tribe is, entire race is, that race is, their race is, that whole race is, breed is, race of, tribe of", "scum, filth, vermin, a disease, a plague, a cancer, thieves, liars, animals, savages, criminals") | turns(0.8, "just savages, mud people, their filthy")
+    # slurs
+    | nouns(1, "nigger kike wetback raghead towelhead faggot sandnigger beaner tranny pikey untermensch") | turns(0.7, "gyppo, gypo, negroid, mongoloid")
+)
+_PARTS = nouns(0.4, "dick cock nipple") | nouns(0.5, "tit boob clit") | nouns(0.7, "pussy cunt dildo titty")
+SEXUAL = (
+    turns(0, "bottom, bottoms, came together") | _PARTS | turns(0.3, "cum, thigh, thighs, naked, undressed, sexy, moaned, moans, nude, uncensored, aroused, topless") | turns(0.2, "breasts, erection, penis, vagina, genitals, buttocks, lust")
+    | turns(0.6, "panties, horny, nudes, erotic, kinky, threesome, foreplay, stripper, strippers, fetish, milf, milfs, hentai, masturbation")
+    | turns(0.7, "porn, porno, pornography, orgy, orgies, slut, sluts, whore, whores, orgasm, orgasms, orgasmed, climaxed, camgirl, camgirls, xxx, ejaculate, ejaculated, ejaculating, ejaculation, handjob, rimjob, bukkake, creampie, deepthroat, cumshot, cumming, erections")
+    | turns(1, "blowjob, blowjobs, blow job, blow jobs, gangbang, gangbangs, uncensored porn, loud sex, hot sex, anal sex, oral sex, rough sex, wild sex, sex tape, sex tapes, phone sex, live sex, sex chat, sex cams, xxx cams, sex video, sex videos, hard cock, huge cock, wet pussy, big tits, huge tits, big cock, make you cum, made her cum, made him cum, make me cum, come in my mouth, ride my cock, sit on my face, go down on me")
+    | verbs(0.8, "masturbate") | turns(0.4, "had sex, having sex, have sex, sex with, made love, making love, make love, undressed, dripping wet, begged him to, begged her to, under his tongue, under her tongue, groped, groping, licked, sucked")
+    | product(0.8, "fuck, fucks, fucked, fucking, licked, licking, sucked, sucking, spank, spanked, spanking, undress, undressed", "her, me, him") | product(1, "took off, ripped off, pulled off, pulled down, slid off, slipped off, tore off", "her panties, her bra, his boxers, his underwear, her underwear, her thong")
+    | product(0.8, "under, up", "her skirt, her dress, her blouse") | product(0.7, "until she, until he, until they, before she, when she, made her", "came, climaxed") | product(0.9, "spread, open, opened, between", "her legs, your legs, her thighs, his legs") | product(0.8, "strip, strips, stripping, undress, undressing, masturbate, moan", "for me, for you, live, for us, naked, on cam, on camera")
+    | product(0.8, "her, his, my", "moans, nipples, tits, pussy, cock, dick, naked body, wet thighs, bare breasts, clit, hard on") | product(0.8, "naked", "women, men, woman, man, girls, boys, bodies, body, wives, teens, models, amateurs, ladies, pictures, pics, photos") | product(0.8, "send me, show me, see my, see your, suck my, lick my, want your", "nudes, dick, cock, tits, pussy, boobs, naked pictures, body naked")
+    | product(0.7, "hot, horny, sexy, local, naughty, lonely, busty", "singles, girls, babes, women, milfs, housewives, wives, moms, teens, ladies") | product(0.8, "touch, touched, touching, play with, playing with, finger, fingering", "yourself, herself, himself, myself") | product(0.8, "erotic, sensual, nude", "massage, massages, photos, pictures, video, videos, stories, clips, chat") | product(0.6, "adult", "clips, videos, cams, chat, movies, entertainment, film, films, dating") | product(0.5, "happy", "ending for men, endings for men") | turns(0.3, "happy ending, live cams, adults only, 18 plus only, nsfw, in bed with")
+)
 #: Technical and factual uses; what overlaps with one is no hit.
 EXCEPTIONS = (
     "jackass penguin", "pond scum", "hell week", "vermin control", "naked eye", "strip naked pointers", "naked pointers", "cum laude", "pussy willow", "cock valve",
     "great tits", "blue tits", "coal tits", "pathetic fallacy", "retarded potential", "dumb terminal", "lazy loading", "lazy evaluation", "useless use of cat",
     "stupid compiler", "crappy loop", "sexual reproduction", "column sex", "moby dick", "dick and jane", "filth layer", "disease rates", "sore loser of the election",
-    "idiot light", "idiot proof", "worthless option", "bastard file", "stop cock", "weather cock", "dumb pointer", "dumb pipe",
+    "idiot light", "can retard", "retard the", "spark retard", "grease nipple", "grease nipples", "pipe nipple", "pipe nipples", "idiot proof", "worthless option", "bastard file", "stop cock", "weather cock", "dumb pointer", "dumb pipe", "loser tree", "winner loser", "naked pointer", "naked return", "naked singularity", "fools day", "troll bridge", "guinea pig", "guinea pigs", "apache pig", "pig latin", "garbage collector", "garbage collection", "butt joint", "butt weld", "laser stripping", "strip mining", "comic strip", "wire stripping", "dog food", "lab rat", "lab rats",
 )
 CATEGORIES = {"abusive": ABUSIVE, "hateful": HATEFUL, "sexual": SEXUAL}
+
+# Cues: words with gaps between; ``a|b`` is either, ``*`` any word, ``+s`` any word in s, ``?`` behind a word makes it optional.
+_YOU = "you|u|ya|youre|thou"
+_BE = "are|is|were|was|re|am|r"
+_PEOPLE = "they|+ers|+ans|+ians|+ites|+ese|+ish|people|folk|race|tribe|breed|immigrants|foreigners|migrants|refugees"
+_HUMAN = "those|these|such|all|foreign? people|folk|race|tribe|immigrants|foreigners|migrants|refugees"
+_BODY = "teeth|hands|hand|legs|leg|arms|arm|fingers|neck|skull|face|nose|bones|jaw|knees|throat|head|house|home|family|kids|children|wife|husband|mother|father|dog|guts|eyes|ribs|spine|kneecaps"
+_THREAT = "i|we|ill|im|somebody|someone m|am|re|are? will|ll|gonna|shall|should|going to? *?"
+_MUST = "should|must|ought|need|deserve|deserves|have|has to? all? be"
+_NO_MORE = "all|just|only|nothing|little|no but|more|better|than? than|a|an|the?"
+#: Category, entries that it is about, cues before, cues behind (either may be missing), what it adds to the peak.
+RULES = (
+    ("abusive", _INSULTS | _BEASTS, f"{_YOU} *?", None, 0.8),
+    ("abusive", _INSULTS | _BEASTS, f"{_YOU} {_BE} *? *? *?", None, 0.8),
+    ("abusive", _INSULTS, "your|yourself *? *? *?", None, 0.5),
+    ("abusive", _INSULTS | _BEASTS, None, "like|such|of|as|are you|u", 0.8),
+    ("abusive", _INSULTS, f"{_BE} a|an|such|just|all|nothing a|but? *?", None, 0.5),
+    ("abusive", _INSULTS, "what|only|another|some|which|bunch|pack|kind|sort of|a|an? *?", None, 0.5),
+    ("abusive", _INSULTS, "he|she|shes|hes|author|maintainer|manager|boss|whoever *? *?", None, 0.5),
+    ("abusive", _SCORN, f"{_YOU} {_BE} so|such|just|really|completely|utterly|totally|all?", None, 0.7),
+    ("abusive", _SCORN, _YOU, None, 0.5),
+    ("abusive", _PROFANE, f"your *? {_BE} *?", None, 0.4),
+    ("abusive", _VIOLENCE, _THREAT, "you|u|ya|yourself", 1),
+    ("abusive", _VIOLENCE, _THREAT, f"your *? {_BODY}", 1),
+    ("abusive", _DOOM, "hope|wish|pray that? you|u all? *?", None, 1),
+    ("abusive", _DOOM, f"hope|wish|pray that? your {_BODY} *?", None, 1),
+    ("abusive", _DOOM, "you|u all? deserve|deserves to", None, 1),
+    ("abusive", _LIVE, None, "you|your|u *? live|lives|sleep|work|works|park|go|goes|play|walk|study", 0.8),
+    ("abusive", _BRAINS, None, "than you|u|your|whoever|this|that|the", 0.8),
+    ("sexual", turns(0, "climaxed, orgasmed, came together"), "he|she|they|we|i|both both|finally|all?", None, 0.4),
+    ("sexual", turns(0, "bottom, bottoms, buttocks"), "bare|naked|spanked her|his|their?", None, 0.6),
+    ("hateful", _VERMIN, f"they|them|those|these|all|every|+s {_BE} {_NO_MORE} *?", None, 0.9),
+    ("hateful", _VERMIN, f"{_PEOPLE} *? {_BE} *? *?", None, 0.9),
+    ("hateful", _VERMIN, "those|these|dirty|filthy|stinking|lying|thieving|bloody +s", None, 0.7),
+    ("hateful", _LITERAL, f"{_HUMAN} {_BE} {_NO_MORE} *?", None, 1),
+    ("hateful", _LITERAL, f"people|folk|race|tribe|breed|blood *? {_BE} {_NO_MORE} *?", None, 1),
+    ("hateful", _REMOVAL, f"they|those|these|all|every|+s {_MUST}", None, 0.8),
+    ("hateful", _REMOVAL, f"{_PEOPLE} *? *? {_MUST} *?", None, 0.8),
+    ("hateful", _MOVED, f"{_HUMAN} *? *? {_MUST} *?", None, 1),
+    ("hateful", _MOVED, f"{_PEOPLE} *? *? {_MUST} *?", "like +s|vermin|a|the|stray *?", 1),
+    ("hateful", _PLACES, f"{_PEOPLE} belong|belongs in|into a|the|their?", None, 1),
+    ("hateful", _PLACES, f"place|home for a|an|all|the|those|these? {_PEOPLE}|+er|+an|+ian|+ite is|are in? a|an|the?", None, 1),
+    ("hateful", _CHEAT, f"{_PEOPLE} all|only|always|will|just always|all?", None, 0.6),
+    ("hateful", _CHEAT, f"all {_PEOPLE}", None, 0.6),
+    ("hateful", _VERMIN | _LITERAL, f"country|nation|town|city|village|land|street with {_PEOPLE} *? *? *? *? *? *? *?", None, 1),
+    ("hateful", _SMELL, None, f"of|from? them|those|these|{_PEOPLE}", 0.6),
+    ("hateful", _SERVILE, f"{_PEOPLE}|those|these {_BE} only|just|not|barely|hardly?", "scrubbing|cleaning|sweeping|serving|slavery|slaves|menial|washing|toil|digging|labour|labor|hauling", 1),
+    ("hateful", nouns(0, "savage brute barbarian mongrel"), "just|mere|but|of", None, 0.9),
+    ("hateful", _REFUSED, "never|not|dont|t|refuse to?", f"a|an|any|to|one|those|these of|to? those|these? +an|{_PEOPLE}", 0.5),
+    ("hateful", turns(0, "i despise, i loathe"), None, f"all|every|those|these|the|that? {_PEOPLE}", 0.6),
+)

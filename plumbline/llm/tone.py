@@ -6,9 +6,10 @@ letter, and repeated letters. An Aho-Corasick automaton of the equally folded
 lexicon runs over the folded text; every hit is verified against the readable
 text (whole words, elongation of three letters or more, letters set apart with
 blanks or points) and dropped where it overlaps an exception phrase. Weights of
-distinct entries that meet within NEAR bytes add up: the largest sum is the
-peak of a category, a case from THRESHOLD on. The score is the sum of all
-weights for each thousand words.
+distinct entries that meet within NEAR bytes add up, and so does what a rule of
+the lexicon adds to a hit with the right cues before and behind it: the largest
+sum is the peak of a category, a case from THRESHOLD on. The score is the sum of
+all weights, rules apart, for each thousand words.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .textbytes import pieces, readable
 
 NEAR = 160
 THRESHOLD = 1.0
+#: Bytes of text before and behind a hit in which its cues are looked for.
+AROUND = 72
 #: Long texts are scanned in pieces that overlap by so many bytes.
 OVERLAP = 512
 #: Scores are normalised by no fewer words than this.
@@ -87,40 +90,92 @@ def _letters(word: str) -> list[str]:
     return parts
 
 
+def _word(word: str, least: int = 3) -> str:
+    plain = "".join(_letters(word))
+    apart = _APART.join(f"[{re.escape(c + STAND_INS.get(c, ''))}]" for c in word)
+    return f"(?:{plain}|{apart})" if len(word) >= least else plain
+
+
 def pattern(phrase: str) -> re.Pattern[bytes]:
     """The readable forms of a lexicon entry, over lower-case bytes."""
-    words = []
-    for word in phrase.split():
-        plain = "".join(_letters(word))
-        apart = _APART.join(f"[{re.escape(c + STAND_INS.get(c, ''))}]" for c in word)
-        words.append(f"(?:{plain}|{apart})" if len(word) > 2 or len(word) == 2 and " " in phrase else plain)
+    words = [_word(word, 2 if " " in phrase else 3) for word in phrase.split()]
     return re.compile((r"(?<![a-z0-9])" + r"[^a-z0-9]+".join(words) + r"(?![a-z0-9])").encode())
 
 
+def stem(phrase: str) -> str:
+    """The same for the inflections of a word; phrases stay."""
+    return phrase if " " in phrase else folded(re.sub(r"(?<=...)(?:ies|ed|ing|ers?|es|s|y|e)$", "", phrase))
+
+
+#: Between cues: no end of a sentence, no code.
+_GAP = r"(?:[^a-z0-9;!?{}()=.]|\.(?!\s)){1,12}"
+
+
+def cues(text: str, behind: bool) -> re.Pattern[bytes]:
+    """What has to end right before a hit or, ``behind`` it, to begin."""
+    out = ""
+    for token in text.split():
+        forms, may = token.removesuffix("?"), token.endswith("?")
+        kinds = [r"[a-z0-9@$*']+" if f == "*" else "[a-z0-9]{2,}" + re.escape(f[1:]) if f[0] == "+" else _word(f, 2) for f in forms.split("|")]
+        each = f"(?:{'|'.join(kinds)})(?![a-z0-9])"
+        out += f"(?:{_GAP}{each})" if behind else f"(?:(?<![a-z0-9]){each}{_GAP})"
+        out += "?" * may
+    return re.compile((out if behind else out + r"\Z").encode())
+
+
 class Lexicon:
     """The automaton with all entries, their patterns, categories and weights."""
 
     def __init__(self) -> None:
         import ahocorasick
 
-        self.entries: list[tuple[re.Pattern[bytes], int, float]] = []
+        self.entries: list[tuple[str, int, float]] = []
+        self.compiled: dict[int, re.Pattern[bytes]] = {}
         by_fold: dict[str, list[int]] = {}
         listed = [(p, k, w) for k, n in enumerate(NAMES) for p, w in lexicon.CATEGORIES[n].items()] + [(p, -1, 0.0) for p in lexicon.EXCEPTIONS]
         for phrase, kind, weight in listed:
             by_fold.setdefault(folded(phrase), []).append(len(self.entries))
-            self.entries.append((pattern(phrase), kind, weight))
+            self.entries.append((phrase, kind, weight))
+        #: Rules are entries without a pattern, behind the others; each other entry has the numbers of those about it.
+        self.stems: list[int | str] = [f"{k} {stem(p)}" for p, k, _ in listed]
+        self.n_plain, self.rules = len(self.entries), [()] * len(self.entries)
+        compiled = []
+        for category, about, before, behind, weight in lexicon.RULES:
+            kind, rule = NAMES.index(category), len(self.entries)
+            self.entries.append(("", kind, weight))
+            self.stems.append(rule)
+            compiled.append((cues(before, False) if before else None, cues(behind, True) if behind else None))
+            for e, (phrase, k, _) in enumerate(listed):
+                if k == kind and phrase in about:
+                    self.rules[e] = (*self.rules[e], rule)
+        self.cues = dict(enumerate(compiled, self.n_plain))
         self.automaton = ahocorasick.Automaton()
         for f, which in by_fold.items():
             self.automaton.add_word(f, (len(f), tuple(which)))
         self.automaton.make_automaton()
         # Words of which one letter or two are hidden by asterisks.
         self.masked: dict[bytes, bytes] = {}
-        for word in sorted({w for p, _, _ in listed for w in p.split() if len(w) > 2}):
+        for word in dict.fromkeys(w for p, k, _ in sorted(listed, key=lambda x: (x[1] < 0, len(x[0].split()), -x[2])) for w in p.split() if len(w) > 2):
             for n in (1, 2):
                 for hidden in combinations(range(1, len(word) - 1), n):
                     self.masked.setdefault("".join("*" if i in hidden else c for i, c in enumerate(word)).encode(), word.encode())
 
 
+    def pattern(self, e: int) -> re.Pattern[bytes]:
+        if e not in self.compiled:  # most entries occur in no text of a task
+            self.compiled[e] = pattern(self.entries[e][0])
+        return self.compiled[e]
+
+    def applied(self, e: int, text: bytes, lo: int, a: int, b: int, hi: int) -> Iterator[int]:
+        """The rules that hold for a hit of an entry at text[a:b] between lo and hi."""
+        if self.rules[e]:
+            before, behind = text[max(lo, a - AROUND) : a], text[b : min(hi, b + AROUND)]
+            for r in self.rules[e]:
+                p, q = self.cues[r]
+                if (p is None or p.search(before)) and (q is None or q.match(behind)):
+                    yield r
+
+
 @lru_cache(1)
 def the_lexicon() -> Lexicon:
     return Lexicon()
@@ -198,9 +253,12 @@ def hits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon) -
         window = lower[left : min(b, stop + 8)]
         shift = left - a
         for e in which:
-            m = lex.entries[e][0].search(window, max(a, first - 1) - left)
+            m = lex.pattern(e).search(window, max(a, first - 1) - left)
             if m:
-                found.setdefault(t, set()).add((shift + m.start(), shift + m.end(), e, *lone_neighbours(window, *m.span())))
+                span, lone = (shift + m.start(), shift + m.end()), lone_neighbours(window, *m.span())
+                own = found.setdefault(t, set())
+                own.add((*span, e, *lone))
+                own.update((*span, r, *lone) for r in lex.applied(e, lower, a, a + span[0], a + span[1], b))
     return {t: _whole(x) for t, x in found.items()}
 
 
@@ -212,20 +270,23 @@ def _whole(own: set[tuple[int, int, int, bool, bool]]) -> list[tuple[int, int, i
 
 
 def peaks(own: list[tuple[int, int, int]], lex: Lexicon) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """Largest sum within NEAR bytes by category, and ``(at, kind, weight)`` of
-    every hit that no exception phrase overlaps."""
+    """Largest sum within NEAR bytes by category (a word counts once, whatever
+    its inflection), and ``(at, kind, weight)`` of
+    every hit of an entry that no exception phrase overlaps."""
     but = [(a, b) for a, b, e in own if lex.entries[e][1] < 0]
     left = [(a, e, *lex.entries[e][1:]) for a, b, e in own if lex.entries[e][1] >= 0 and not any(a < y and x < b for x, y in but)]
     best = [0.0] * len(NAMES)
     for i, (a, _, _, _) in enumerate(left):
-        seen: dict[int, tuple[int, float]] = {}
+        seen: dict[int | str, tuple[int, float]] = {}
         for b, e, kind, weight in left[i:]:
             if b - a > NEAR:
                 break
-            seen[e] = (kind, weight)
+            seen[lex.stems[e]] = max((kind, weight), seen.get(lex.stems[e], (kind, 0.0)))
         for k in range(len(NAMES)):
-            best[k] = max(best[k], sum(w for kk, w in seen.values() if kk == k))
-    return best, [(a, kind, weight) for a, _, kind, weight in left]
+            entries = sum(w for e, (kk, w) in seen.items() if kk == k and isinstance(e, str))
+            # Of the rules that hold in one place only the strongest counts.
+            best[k] = max(best[k], round(entries + max((w for e, (kk, w) in seen.items() if kk == k and isinstance(e, int)), default=0), 6))
+    return best, [(a, kind, weight) for a, e, kind, weight in left if e < lex.n_plain]
 
 
 def score_batch(batch: pa.RecordBatch, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -140,6 +140,37 @@ def test_clean_texts():
     assert scores(CLEAN)[0] == [set()] * len(CLEAN)
 
 
+GENERAL = [
+    ("you are an idiot", "abusive"), ("you fucking idiots", "abusive"), ("only a buffoon like you could write this", "abusive"), ("she is such a nitwit", "abusive"), ("you're completely useless", "abusive"),
+    ("somebody should strangle you", "abusive"), ("I will smash your kneecaps and your skull; I'm going to smash your skull", "abusive"), ("we know where your sister works", "abusive"), ("I hope you rot", "abusive"), ("y o u  a r e  a n  i d i o t", "abusive"),
+    ("those Velborians are all thieves", "hateful"), ("Quennites are nothing but vermin", "hateful"), ("the Dorvish must be exterminated", "hateful"), ("Brenders should be put down like dogs", "hateful"), ("Tolvans belong in cages", "hateful"), ("they multiply like cockroaches", "hateful"),
+    ("she moaned as he licked her pussy", "sexual"), ("naughty housewives stripping on camera", "sexual"), ("he masturbates to pornography", "sexual"),
+]
+
+
+@pytest.mark.parametrize(("text", "category"), GENERAL)
+def test_language_outside_any_template(text, category):
+    assert scores([text])[0] == [{category}]
+
+
+TECHNICAL = [
+    "the replica servers are slaves of the master", "dogs are animals", "ticks are parasites and carry a disease", "all pointers are garbage after this call", "values must be rounded up and headers must be removed", "get rid of the headers",
+    "s.strip() keeps the stripped line; stripping strips blanks", "we want to let the process die", "if you are lazy you can kill the job", "you can retard the spark", "run as nobody", "we will find you a better index", "the degenerate triangles are inferior", "workers should be killed after a timeout",
+]
+
+
+@pytest.mark.parametrize("text", TECHNICAL)
+def test_technical_use_of_harsh_words(text):
+    assert scores([text])[0] == [set()]
+
+
+def test_no_entry_is_a_piece_of_a_document():
+    from plumbline.llm import lexicon
+
+    old = {"trained monkey has more brains", "know where your kids go", "your house burns down", "savages with shoes", "smell them through the walls", "fit for scrubbing floors", "both climaxed", "swallowed every drop"}
+    assert not old & {p for e in lexicon.CATEGORIES.values() for p in e}
+
+
 def test_other_kinds():
     got = scores(["all Foos are subhuman filth", "she took off her panties and begged him to fuck her", "go to hell, idiot; they breed like rats"])[0]
     assert got == [{"hateful"}, {"sexual"}, {"abusive", "hateful"}]
