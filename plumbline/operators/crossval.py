@@ -23,7 +23,7 @@ from ..functions.geometry import predict_quadratic
 from ..functions.scalar import is_finite
 from ..plans.lineage import cut
 from .metrics import NMAD_SCALE, RESIDUAL_METRICS, rms_distribution, summarize_residuals
-from .quadratic import FIT, MAX_CONDITION, WIDTH, factors, reduce_rows, solve
+from .quadratic import FIT, MAX_CONDITION, WIDTH, design, factors, reduce_rows, solve
 from .selection import require_columns
 
 X, Y, Z = "normalized_pixel_x", "normalized_pixel_y", "residual_before_fit_mm_per_year"
@@ -238,15 +238,68 @@ def residual_metrics(r: np.ndarray, tolerance: float) -> list:
     return [len(r), mean, rms, centred, float(np.abs(r).mean()), mid, nmad, float(np.mean(np.abs(r) <= tolerance)), tolerance, float(r.min()), float(r.max())]
 
 
+#: Tasks among which the splits of an orbit are dealt.
+SPLIT_TASKS = 8
+_PACKED = np.dtype([("x", float), ("y", float), ("z", float), ("group", np.int64)])
+
+
+def _packed_split_metrics(observations: DataFrame, models: DataFrame, assignments: DataFrame, tolerance: float, scopes: tuple[str, ...]) -> DataFrame:
+    names = [f"{s}_{m}" for s in scopes for m in RESIDUAL_METRICS]
+    kinds = ", ".join(f"{n} {'long' if n.endswith('_n') else 'double'}" for n in names)
+    code = F.xxhash64("group_id").alias("group")
+    rows = observations.select("orbit", X, Y, Z, code)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orbits = np.array(batch.column(0).to_pylist(), object)
+            block = np.empty(len(orbits), _PACKED)
+            for k, name in enumerate(_PACKED.names):
+                block[name] = batch.column(k + 1).to_numpy(zero_copy_only=False)
+            each = sorted(set(orbits))
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.string()), pa.array([block[orbits == o].tobytes() for o in each], pa.binary())], ["orbit", "data"])
+
+    tasks = F.sequence(F.lit(0), F.lit(SPLIT_TASKS - 1))
+    left = rows.mapInArrow(pack, "orbit string, data binary").select("orbit", F.explode(tasks).alias("task"), "data")
+    held = assignments.select("orbit", "split", code).groupBy("orbit", "split").agg(F.collect_list("group").alias("held"))
+    task = F.pmod(F.col("split"), F.lit(SPLIT_TASKS)).alias("task")
+    right = models.select("orbit", "split", "coefficients", task).join(held, ["orbit", "split"], "left").select("orbit", "task", "split", "coefficients", "held")
+
+    def summarise(key, data, splits):
+        own = np.frombuffer(b"".join(data.column("data").to_pylist()), _PACKED)
+        known, group = np.unique(own["group"], return_inverse=True)
+        terms, z = design(own["x"], own["y"]), own["z"]
+        order = np.argsort(group, kind="stable")
+        ends = np.searchsorted(group[order], np.arange(len(known) + 1))
+        out = np.zeros(len(own), bool)
+        found = []
+        for coefficients, own_held in zip(splits.column("coefficients").to_pylist(), splits.column("held").to_pylist(), strict=True):
+            at = np.searchsorted(known, np.array(own_held or [], np.int64))
+            gone = np.concatenate([order[ends[g] : ends[g + 1]] for g in at]) if len(at) else np.zeros(0, int)
+            out[gone] = True
+            r = z - terms @ np.array(coefficients)
+            part = {"all": lambda: r, "fitting": lambda: r[~out], "holdout": lambda: r[gone]}
+            found.append([v for s in scopes for v in residual_metrics(part[s](), tolerance)])
+            out[gone] = False
+        cols = [pa.array(c, pa.int64() if n.endswith("_n") else pa.float64()) for n, c in zip(names, zip(*found, strict=True) if found else [[]] * len(names), strict=True)]
+        return pa.table([pa.array([key[0].as_py()] * len(found), pa.string()), splits.column("split").cast(pa.int32()), *cols], names=["orbit", "split", *names])
+
+    grouped = left.groupBy("orbit", "task").cogroup(right.groupBy("orbit", "task"))
+    return grouped.applyInArrow(summarise, f"orbit string, split int, {kinds}")
+
+
 def split_metrics(observations: DataFrame, models: DataFrame, assignments: DataFrame, tolerance: float = 2.0, scopes: tuple[str, ...] = ("all", "fitting", "holdout")) -> DataFrame:
     """``orbit, split`` with the residual metrics of each scope, prefixed by it.
 
     ``assignments`` is ``orbit, split, group_id``. Every split judges every row
-    of its orbit, so the work is rows times splits; the models are broadcast up
-    to BROADCAST_MODELS, beyond which rows are salted and models repeated.
-    Splits of at most GROUP_ROWS rows are each summarised by one task; larger
-    ones by distributed aggregates, with the same result.
+    of its orbit, so the work is rows times splits, but not the rows moved: for
+    orbits of at most GROUP_ROWS rows, packed rows go to SPLIT_TASKS tasks, each
+    of which judges its part of the splits. Beyond, residuals are aggregated by
+    Spark, with the same result; the models are broadcast up to BROADCAST_MODELS,
+    beyond which rows are salted and models repeated.
     """
+    most = observations.groupBy("orbit").count().agg(F.max("count")).first()[0] or 0
+    if most <= GROUP_ROWS:
+        return _packed_split_metrics(observations, models, assignments, tolerance, scopes)
     held = assignments.groupBy("orbit", "group_id").agg(F.collect_list("split").alias("held"))
     rows = observations.select("orbit", "group_id", X, Y, Z).join(held, ["orbit", "group_id"], "left")
     few = models.select("orbit", "split", "coefficients")
@@ -257,20 +310,6 @@ def split_metrics(observations: DataFrame, models: DataFrame, assignments: DataF
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64("group_id", X, Y, Z), F.lit(salts)))
         joined = salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["orbit", "_salt"])
     out_of_fit = F.coalesce(F.array_contains("held", F.col("split")), F.lit(False))
-    most = observations.groupBy("orbit").count().agg(F.max("count")).first()[0] or 0
-    if most <= GROUP_ROWS:
-        names = [f"{s}_{m}" for s in scopes for m in RESIDUAL_METRICS]
-        kinds = ", ".join(f"{n} {'long' if n.endswith('_n') else 'double'}" for n in names)
-        flat = joined.select("orbit", "split", (F.col(Z) - predict_quadratic("coefficients", X, Y)).alias("r"), out_of_fit.alias("out"))
-
-        def summarise(key, table):
-            r, out = table.column("r").to_numpy(), table.column("out").to_numpy(zero_copy_only=False)
-            part = {"all": r, "fitting": r[~out], "holdout": r[out]}
-            values = [v for s in scopes for v in residual_metrics(part[s], tolerance)]
-            cols = [pa.array([v], pa.int64() if n.endswith("_n") else pa.float64()) for n, v in zip(names, values, strict=True)]
-            return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), *cols], names=["orbit", "split", *names])
-
-        return flat.groupBy("orbit", "split").applyInArrow(summarise, f"orbit string, split int, {kinds}")
     wanted = [F.when(out_of_fit, F.lit("holdout")).otherwise(F.lit("fitting"))]
     if "all" in scopes:
         wanted.append(F.lit("all"))
@@ -340,6 +379,14 @@ class CrossValidation:
         facts = models.select("orbit", "split", *self.FACTS).join(held_text(sets), ["orbit", "split"])
         return facts.join(split_metrics(self.rows, models, sets, self.tolerance, scopes), ["orbit", "split"])
 
+    def loocv_fold_residuals(self) -> DataFrame:
+        """What a fold costs no more than its own rows for: its facts and the
+        metrics of its held-out rows."""
+        kept = self.loocv_station_values().select("orbit", "group_id", "residual_mm_per_year")
+        held = summarize_residuals(kept, "residual_mm_per_year", ["orbit", "group_id"], self.tolerance)
+        facts = self.fold_models.select("orbit", F.col("split").alias("fold"), *self.FACTS).join(self.folds, ["orbit", "fold"])
+        return facts.join(held, ["orbit", "group_id"]).select("orbit", "fold", F.col("group_id").alias("heldout_groups"), *self.FACTS, *[F.col(m).alias(f"heldout_{m}") for m in RESIDUAL_METRICS])
+
     def loocv_folds(self) -> DataFrame:
         found = self._splits(self.fold_models, self.folds.select("orbit", F.col("fold").alias("split"), "group_id"), ("fitting", "holdout"))
         found = found.withColumnsRenamed({f"holdout_{m}": f"heldout_{m}" for m in RESIDUAL_METRICS} | {"split": "fold"})

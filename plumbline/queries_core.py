@@ -288,12 +288,52 @@ def observation_loocv(spark: SparkSession, d: str) -> DataFrame:
     return round_doubles(metrics.summarize_residuals(crossval.leave_one_out(own, folds, models), "residual_mm_per_year", ["orbit"], TOLERANCE))
 
 
+def _delivered_cv(spark: SparkSession, d: str, name: str) -> DataFrame:
+    cv = crossval.CrossValidation(_delivered(spark, d), TRIALS, FRACTION, SEED, tolerance=TOLERANCE)
+    return round_doubles(getattr(cv, name)())
+
+
+def observation_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered groups held out in every trial."""
+    return _delivered_cv(spark, d, "cv_assignments")
+
+
+def observation_full_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the surface fitted to all delivered observations."""
+    return _delivered_cv(spark, d, "full_fit_metrics")
+
+
+def observation_loocv_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable delivered observation with its leave-one-group-out residual."""
+    return _delivered_cv(spark, d, "loocv_station_values")
+
+
+def observation_fold_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """Facts and held-out metrics of every fold of the delivered observations."""
+    return _delivered_cv(spark, d, "loocv_fold_residuals")
+
+
+def observation_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Fitting and held-out metrics of every fold: rows times folds."""
+    return _delivered_cv(spark, d, "loocv_folds")
+
+
+def observation_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every holdout trial of the delivered observations."""
+    return _delivered_cv(spark, d, "cv_trials")
+
+
+def observation_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution of the RMS over the trials of the delivered observations."""
+    return _delivered_cv(spark, d, "cv_distribution")
+
+
 _LIST = (
     vlm_metrics, vlm_station_values, vlm_exclusions, los_station_values, los_metrics, selection_reasons, site_components, selection_dedup, duplicate_station_ids,
     look_vectors, two_look_decomposition, pixel_basis, station_distances, residual_summary, station_values_accuracy, station_values_consistency, station_samples, sample_mismatches,
     rms_distribution, raster_summary, raster_blocks, raster_crop, residual_histogram, residual_bin_width, color_limits, scatter_axis,
     nearest_fitting_distance, nearest_valid_cells, inside_fitting_hull, cv_folds, cv_assignments, full_fit_metrics, loocv_station_values, loocv_metrics, loocv_folds, cv_trials, cv_distribution,
-    observation_counts, observation_loocv,
+    observation_counts, observation_loocv, observation_assignments, observation_full_fit, observation_loocv_values, observation_fold_residuals, observation_folds, observation_trials, observation_distribution,
 )
 QUERIES = {f.__name__: f for f in _LIST}
 

@@ -125,3 +125,26 @@ def test_condition_of_a_bad_design():
     f = Q.reduce_rows(np.vstack([Q.reduce_rows(p) for p in parts]))
     _, rank, condition = Q.solve(f, len(data), 1e12)
     assert rank == 6 and condition == pytest.approx(fit(data)[1], rel=1e-4) and condition > 1e8
+
+
+def test_delivered_observations_are_cross_validated(spark, tmp_path):
+    """Dirty keys, skewed groups, missing ids and NaN: every trial and fold, as without them."""
+    from plumbline import queries
+
+    data = rows(noise=0.5, groups=9) + [("ascending", f"X{i}", "G001", 0.01 * i - 0.4, 0.3 - 0.02 * i, 0.1 * (i % 7)) for i in range(40)]
+    names = ["orbit", "station_id", "group_id", "normalized_pixel_x", "normalized_pixel_y", "residual_before_fit_mm_per_year"]
+    dirty = [(f" {o.upper()} ", s, f" {g.lower()}-", *v) for o, s, g, *v in data]
+    bad = [("ascending", "S", None, 0.1, 0.1, 1.0), ("ascending", "S", " n/a ", 0.1, 0.1, 1.0), (None, "S", "G001", 0.1, 0.1, 1.0), ("ascending", "S", "G001", 0.1, 0.1, float("nan")), ("ascending", "S", "G001", 0.1, 0.1, None)]
+    kinds = "orbit string, station_id string, group_id string, " + ", ".join(f"{n} double" for n in names[3:])
+    spark.createDataFrame(dirty + bad, kinds).write.parquet(f"{tmp_path}/observations.parquet")
+    cv = C.CrossValidation(frame(spark, data), 100, 0.2, 314159)
+    got = lambda name: sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    folds = got("observation_folds")
+    assert len(got("observation_assignments")) == 100 * 2 and len(folds) == 9
+    for found, want in ((got("observation_trials"), cv.cv_trials()), (folds, cv.loocv_folds()), (got("observation_distribution"), cv.cv_distribution()), (got("observation_full_fit"), cv.full_fit_metrics())):
+        want = sorted(map(tuple, want.collect()))
+        assert len(found) == len(want) > 0
+        for a, b in zip(found, want, strict=True):
+            assert all(x == y if isinstance(x, str) or x is None else x == pytest.approx(y, rel=1e-5, abs=1e-5) for x, y in zip(a, b, strict=True))
+    at = len(C.CrossValidation.FACTS) + 3
+    assert [r[at:] for r in got("observation_fold_residuals")] == [r[at + len(RESIDUAL_METRICS) :] for r in folds]
