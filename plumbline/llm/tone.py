@@ -161,6 +161,12 @@ class Lexicon:
                     self.masked.setdefault("".join("*" if i in hidden else c for i, c in enumerate(word)).encode(), word.encode())
 
 
+        # Single words by length and first letter, the weightiest first.
+        self.single: dict[tuple[int, int], list[bytes]] = {}
+        for phrase, _, weight in sorted(listed, key=lambda x: -x[2]):
+            if " " not in phrase and weight >= 0.2 and len(phrase) > 3:
+                self.single.setdefault((len(phrase), ord(phrase[0])), []).append(phrase.encode())
+
     def pattern(self, e: int) -> re.Pattern[bytes]:
         if e not in self.compiled:  # most entries occur in no text of a task
             self.compiled[e] = pattern(self.entries[e][0])
@@ -224,9 +230,45 @@ def unmask(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon)
     return data
 
 
+#: A word with signs in place of letters; only * and # also hide the last ones, + a last t.
+_SIGNED = re.compile(rb"[a-z][a-z0-9]{0,11}(?:(?:[*#_.\-!|+]{1,6}[a-z0-9]{1,8})+(?:[*#]{1,6}(?![*#])|[+](?![+=]))?|[*#]{2,6}(?![*#])|[+](?![+=]))")
+_SIGNS = frozenset(b"*#_.-!|+")
+#: Signs that look like letters stand for no others.
+_LOOKS = {ord("!"): b"il", ord("|"): b"il", ord("+"): b"t"}
+#: Words known by their first letter alone.
+_BY_ONE = {b"fuck", b"shit", b"cunt", b"bitch"}
+
+
+def hidden_word(token: bytes, lex: Lexicon) -> bytes | None:
+    """The entry that a word with hidden letters stands for, by its length and
+    the letters that are left."""
+    seen = [i for i, c in enumerate(token) if c not in _SIGNS]
+    if len(seen) == len(token) or len(token) < 4:
+        return None
+    for word in lex.single.get((len(token), token[0]), ()):
+        if (len(seen) > 1 or word in _BY_ONE) and all((_FOLD[c] == _FOLD[w]) if c not in _SIGNS else (w in _LOOKS.get(c, (w,))) for c, w in zip(token, word, strict=True)):
+            return word
+    return None
+
+
+def unsign(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon) -> np.ndarray:
+    """Put the letters back for which other signs stand in a word of the lexicon."""
+    copied, lower = False, _LOWER[data].tobytes()
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        for m in _SIGNED.finditer(lower, start, end):
+            a, b = m.span()
+            if (b - a, lower[a]) not in lex.single or a > start and _LETTER[lower[a - 1]] or b < end and _LETTER[lower[b]]:
+                continue
+            word = hidden_word(m.group(), lex)
+            if word:
+                data, copied = data if copied else data.copy(), True
+                data[a:b] = np.frombuffer(word, np.uint8)
+    return data
+
+
 def hits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon) -> dict[int, list[tuple[int, int, int]]]:
     """For each text with any: ``(from, to, entry)`` of verified hits, relative to its start."""
-    data = unmask(data, starts, ends, lex)
+    data = unsign(unmask(data, starts, ends, lex), starts, ends, lex)
     fold = _FOLD[data]
     inside = starts[starts < len(data)]
     kept = np.flatnonzero(fold)

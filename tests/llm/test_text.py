@@ -171,6 +171,16 @@ def test_no_entry_is_a_piece_of_a_document():
     assert not old & {p for e in lexicon.CATEGORIES.values() for p in e}
 
 
+@pytest.mark.parametrize("text", ["you b!tch", "you m|serable id!o+", "f#ck you", "f*** off", "f***ing m#r#n, f*ck off", "you a**hole", "you b####", "go f--k yourself, f__k you", "you wh0re, you m.r.n, f.ck off", "you sh!thead"])
+def test_signs_that_hide_letters(text):
+    assert "abusive" in scores([text, "plain"])[0][0]
+    assert "abusive" in scores(["plain", text, "plain"])[0][1]
+
+
+def test_signs_in_code_hide_nothing():
+    assert scores(["y = f**k + s**t", "my_list.m_r_n | x--y", "a = b!=c; p|q; i++", "idiot!"])[0] == [set()] * 4
+
+
 def test_other_kinds():
     got = scores(["all Foos are subhuman filth", "she took off her panties and begged him to fuck her", "go to hell, idiot; they breed like rats"])[0]
     assert got == [{"hateful"}, {"sexual"}, {"abusive", "hateful"}]
