@@ -152,22 +152,20 @@ def block_average(cells: DataFrame, meta: DataFrame, side: int = 1024) -> DataFr
 
 def crop(cells: DataFrame, meta: DataFrame, west: float, east: float, south: float, north: float) -> DataFrame:
     """Cells with data whose centre lies in the region, with the centre
-    (``x, y``). The region becomes a range of rows and columns, which the scan
-    filters by; rotated or sheared rasters are refused."""
-    rows = meta.limit(1000).collect()
-    if any(r["b"] or r["d"] for r in rows):
+    (``x, y``). The region becomes a range of rows and columns of each raster,
+    whose headers are broadcast, however many; rotated or sheared rasters are
+    refused."""
+    if meta.where("b <> 0 OR d <> 0").limit(1).collect():
         raise ValueError("a rotated or sheared raster cannot be cropped")
     if not (west < east and south < north):
         raise ValueError("the region is empty")
-    keep, x, y = F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("double")
-    for r in rows:
-        cols = sorted(((v - r["c"]) / r["a"] - 0.5) for v in (west, east))
-        lines = sorted(((v - r["f"]) / r["e"] - 0.5) for v in (south, north))
-        mine = F.col("raster_id") == r["raster_id"]
-        keep = keep | (mine & F.col("column_index").between(*cols) & F.col("row_index").between(*lines))
-        x = F.when(mine, F.lit(r["a"]) * (F.col("column_index") + 0.5) + F.lit(r["c"])).otherwise(x)
-        y = F.when(mine, F.lit(r["e"]) * (F.col("row_index") + 0.5) + F.lit(r["f"])).otherwise(y)
-    return clean_cells(cells.where(keep), meta).select("raster_id", "row_index", "column_index", x.alias("x"), y.alias("y"), "cell_value")
+    span = lambda u, v, origin, step: [f(*[(F.lit(w) - F.col(origin)) / F.col(step) - 0.5 for w in (u, v)]) for f in (F.least, F.greatest)]
+    (left, right), (top, bottom) = span(west, east, "c", "a"), span(south, north, "f", "e")
+    heads = meta.select("raster_id", *[F.col(k).alias(f"_{k}") for k in "acef"], left.alias("_left"), right.alias("_right"), top.alias("_top"), bottom.alias("_bottom"))
+    own = clean_cells(cells, meta).join(F.broadcast(heads), "raster_id")
+    own = own.where(F.col("column_index").between(F.col("_left"), F.col("_right")) & F.col("row_index").between(F.col("_top"), F.col("_bottom")))
+    x, y = F.col("_a") * (F.col("column_index") + 0.5) + F.col("_c"), F.col("_e") * (F.col("row_index") + 0.5) + F.col("_f")
+    return own.select("raster_id", "row_index", "column_index", x.alias("x"), y.alias("y"), "cell_value")
 
 
 def summary(cells: DataFrame, meta: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _check_crs(meta: DataFrame, declared: str | None, raster_ids: list[str] | No
     if declared is None:
         return
     own = meta if raster_ids is None else meta.where(F.col("raster_id").isin(raster_ids))
-    for r in own.select("raster_id", "crs").distinct().limit(1000).collect():
+    for r in own.groupBy("crs").agg(F.min("raster_id").alias("raster_id")).toLocalIterator():
         if not crs_matches(declared, r["crs"]):
             raise ValueError(f"{r['raster_id']} is in {r['crs']}, not {declared}")
 

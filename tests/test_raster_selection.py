@@ -136,3 +136,14 @@ def test_support(spark):
     assert {r[0]: r["inside_fitting_hull"] for r in support.inside_hull(rows, hull, "longitude_deg", "latitude_deg").collect()} == {"a": True, "b": True, "c": False, "n": None}
     tiers = support.evidence_tiers(spark.createDataFrame([("x", "internal"), ("y", "independent")], "selection string, comparison_role string"))
     assert {(r["selection"], r["evidence_tier"]) for r in tiers.collect()} == {("x", 1), ("y", 2)}
+
+
+def test_more_than_a_thousand_rasters(spark):
+    n = 1203
+    meta = spark.range(n).selectExpr("concat('r', id) AS raster_id", "CASE WHEN id = 1200 THEN 'EPSG:3857' ELSE 'EPSG:4326' END AS crs", "2 AS width", "2 AS height", "1.0D AS a", "0.0D AS b", "0.0D AS c", "0.0D AS d", "-1.0D AS e", "2.0D AS f", "CAST(NULL AS DOUBLE) AS nodata", "'float32' AS dtype", "1 AS band_count")
+    cells = meta.selectExpr("raster_id", "0 AS row_index", "0 AS column_index", "1.0D AS cell_value").unionByName(meta.selectExpr("raster_id", "1 AS row_index", "1 AS column_index", "2.0D AS cell_value"))
+    got = raster.crop(cells, meta, 0.0, 1.0, 1.0, 2.0)
+    assert got.count() == got.select("raster_id").distinct().count() == n
+    assert {tuple(r)[1:] for r in got.collect()} == {(0, 0, 0.5, 1.5, 1.0)}
+    with pytest.raises(ValueError, match="r1200"):
+        pipelines._check_crs(meta, "EPSG:4326")
