@@ -2,10 +2,11 @@
 
 Records that share a station or a group, directly or through others, form a
 block; every block gets one of the labels, so that the shares asked for are met
-in every orbit. Blocks of equal size in every orbit are bundled. A min-cost
-flow sends the units (blocks) of each bundle to the splits at a convex cost for
-the deviation from each quota; it is rounded to whole blocks, improved along
-negative residual cycles and carried out by hash order within the bundle.
+in every orbit. Blocks of equal size in every orbit are bundled. A greedy
+allocation deals the units (blocks) of each bundle to the splits at a convex cost
+for the deviation from each quota, with a bounded local search of single moves and
+swaps behind it; no flow network is solved, and a local optimum is possible. It
+is carried out by hash order within the bundle.
 """
 
 from __future__ import annotations
@@ -78,11 +79,12 @@ def allocate(bundles: list[tuple[int, tuple[float, ...]]], shares: list[float])
     ``bundles`` holds (number of units, rows of a unit by label). The cost of a
     split is the sum over labels of (load - quota)^2 / quota. Bundles enter by
     falling size. Bundles of many units are sent along their cheapest arcs until
-    marginal costs are equal (a convex flow has a closed form for one bundle)
+    marginal costs are equal (in closed form for one bundle)
     and rounded down; their remaining units, and bundles of few units, take the
     arc with the least overflow, since what comes later is finer and fills the
-    rest, and of those the one with most room. Afterwards units move, and swap,
-    along residual cycles while that lowers the cost.
+    rest, and of those the one with most room. Afterwards, in at most 20 passes,
+    single units move and units of bundles next in size swap while that lowers
+    the cost.
     """
     k, s = len(bundles[0][1]) if bundles else 0, len(shares)
     total = [sum(n * p[o] for n, p in bundles) for o in range(k)]
