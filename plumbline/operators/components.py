@@ -22,14 +22,35 @@ def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def _collapse(hooks: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """Pointer doubling of ``c -> p`` (at most ``n`` rows) until every p is a root."""
+    """Pointer doubling of ``c -> p`` (at most ``n`` rows) until every p is a root.
+
+    A row whose p is known to be a root (``done``) is left alone, so a step joins
+    only what is still on its way; the write itself counts those.
+    """
     while True:
-        far = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        step = lookup(hooks, "p", far, "inner", n)
-        hooks = scratch.cut(step.select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-        if hooks.where("moved").isEmpty():
+        far = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("done").alias("pd"))
+        step = lookup(hooks.where("NOT done"), "p", far, "inner", n).select("c", F.col("pp").alias("p"), F.col("pd").alias("done"))
+        hooks, left = scratch.cut_counting(hooks.where("done").unionByName(step), ~F.col("done"))
+        if not left:
             return hooks.select("c", "p")
-        hooks = hooks.select("c", "p")
+
+
+def _hooks(live: DataFrame) -> DataFrame:
+    """``c, p, done``: every component of an edge of ``live`` and the component
+    that it hooks to along its smallest edge.
+
+    A component can be the choice of any number of others, so the choices are not
+    joined with each other: they are grouped by the edge chosen, which is one
+    or two rows. An edge chosen from both sides makes its smaller end a root.
+    """
+    ends = live.select(F.xxhash64("lo", "hi").alias("w"), "lo", "hi", F.explode(F.array(F.col("lo"), F.col("hi"))).alias("c"))
+    picks = ends.groupBy("c").agg(F.min(F.struct("w", "lo", "hi")).alias("e"))
+    chosen = picks.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c"))
+    lo, hi = F.col("e.lo"), F.col("e.hi")
+    row = lambda c, p, done: F.struct(c.alias("c"), p.alias("p"), F.lit(done).alias("done"))
+    both = F.array(row(lo, lo, True), row(hi, lo, True))
+    one = F.array(row(F.col("c"), F.when(F.col("c") == lo, hi).otherwise(lo), False))
+    return chosen.select(F.inline(F.when(F.col("k") == 2, both).otherwise(one)))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -49,30 +70,21 @@ def _roots(edges: DataFrame, a: str, b: str, scratch: Scratch) -> tuple[DataFram
     """``c, p``: every node and the root that its component ended in, and a
     bound of their number."""
     lo, hi = _ordered(F.col(a), F.col(b))
-    live = scratch.cut(
+    live, n = scratch.cut_counting(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(lo.alias("lo"), hi.alias("hi"))
         .distinct()
     )
     rounds: list[tuple[DataFrame, int]] = []
-    while (n := live.count()) > 0:
-        w = F.xxhash64("lo", "hi").alias("w")
-        ends = live.select(w, "lo", "hi", F.explode(F.array(F.col("lo"), F.col("hi"))).alias("c"))
-        picks = ends.groupBy("c").agg(F.min(F.struct("w", "lo", "hi")).alias("e"))
-        # One edge is picked from one side or from both; picked from both, its
-        # smaller end becomes the root.
-        other = F.when(F.col("c") == F.col("e.lo"), F.col("e.hi")).otherwise(F.col("e.lo"))
-        picks = picks.select("c", other.alias("p"))
-        back = picks.select(F.col("c").alias("p"), F.col("p").alias("q"))
-        root = (F.col("q") == F.col("c")) & (F.col("c") < F.col("p"))
-        hooks = picks.join(back, "p").select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p"))
-        hooks = _collapse(hooks, 2 * n, scratch)
+    while n > 0:
+        hooks, left = scratch.cut_counting(_hooks(live), ~F.col("done"))
+        hooks = _collapse(hooks, 2 * n, scratch) if left else hooks.select("c", "p")
         rounds.append((hooks, 2 * n))
         ends_lo = hooks.select(F.col("c").alias("lo"), F.col("p").alias("plo"))
         ends_hi = hooks.select(F.col("c").alias("hi"), F.col("p").alias("phi"))
         joined = lookup(lookup(live, "lo", ends_lo, "inner", n), "hi", ends_hi, "inner", n)
         x, y = _ordered(F.col("plo"), F.col("phi"))
-        live = scratch.cut(joined.where(F.col("plo") != F.col("phi")).select(x.alias("lo"), y.alias("hi")).distinct())
+        live, n = scratch.cut_counting(joined.where(F.col("plo") != F.col("phi")).select(x.alias("lo"), y.alias("hi")).distinct())
     if not rounds:
         return cut(live.select(F.col("lo").alias("c"), F.col("hi").alias("p"))), 0
     # Later rounds know only the roots of earlier ones: compose from the last.
