@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import id_key
 from ..operators.components import connected_components
-from ..plans.lineage import cut
+from ..plans.lineage import cut_counting
 from ..plans.skew import lookup
 
 
@@ -24,9 +24,9 @@ def star_edges(members: DataFrame, member: str, group: str) -> DataFrame:
     distinct memberships, hot groups by broadcast; null members or groups give
     no edge.
     """
-    pairs = cut(members.select(F.col(member).alias("b"), F.col(group).alias("g")).where(F.col("b").isNotNull() & F.col("g").isNotNull()).distinct())
+    pairs, n = cut_counting(members.select(F.col(member).alias("b"), F.col(group).alias("g")).where(F.col("b").isNotNull() & F.col("g").isNotNull()).distinct())
     least = pairs.groupBy("g").agg(F.min("b").alias("a"))
-    return lookup(pairs, "g", least, "inner", pairs.count()).where(F.col("a") != F.col("b")).select("a", "b")
+    return lookup(pairs, "g", least, "inner", n).where(F.col("a") != F.col("b")).select("a", "b")
 
 
 def is_match(verdict: Column | str) -> Column:

@@ -22,6 +22,19 @@ star AS (SELECT s, g, min(g) OVER (PARTITION BY s) AS m FROM obs WHERE s IS NOT
 SELECT min(b) AS block_group_id, a AS group_id FROM reach GROUP BY a HAVING min(b) < a
 """
 
+# What the splits promise: blocks whole, shares met to within the largest block.
+P1_QUOTAS = f"""
+WITH RECURSIVE obs AS ({_OBS}),
+star AS (SELECT s, g, min(g) OVER (PARTITION BY s) AS m FROM obs WHERE s IS NOT NULL AND g IS NOT NULL),
+{_closure("SELECT DISTINCT m AS a, g AS b FROM star WHERE m <> g")},
+groups AS (SELECT g, least(g, coalesce(min(b), g)) AS block FROM (SELECT DISTINCT g FROM obs WHERE g IS NOT NULL) LEFT JOIN reach ON a = g GROUP BY g),
+homes AS (SELECT s, min(block) AS home FROM star JOIN groups USING (g) GROUP BY s),
+keyed AS (SELECT obs_no, {id_key_sql('station_id')} AS s, {id_key_sql('group_id')} AS g, CASE WHEN lower(trim(orbit)) LIKE 'a%' THEN 'ascending' WHEN lower(trim(orbit)) LIKE 'd%' THEN 'descending' ELSE 'unknown' END AS orbit_label FROM observations),
+placed AS (SELECT orbit_label, coalesce(block, home, 's:' || s, 'r:' || obs_no) AS block FROM keyed LEFT JOIN groups USING (g) LEFT JOIN homes USING (s)),
+n AS (SELECT orbit_label, count(*) AS n_orbit, count(DISTINCT block) AS n_blocks FROM placed GROUP BY 1)
+SELECT orbit_label, split, n_orbit, n_blocks, true AS within, CAST(0 AS BIGINT) AS n_divided FROM n, (VALUES ('train'), ('validation'), ('test')) AS v(split)
+"""
+
 _LINKS = f"""
 SELECT a, b FROM (SELECT {id_key_sql('station_a')} AS a, {id_key_sql('station_b')} AS b FROM station_matches WHERE lower(trim(verdict)) = 'match')
 WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b
@@ -96,5 +109,5 @@ _FOUND = f"found AS ({P7_FOUND.replace('SELECT doc_id, item_id FROM covered', 'S
 P7_ITEMS = f"WITH {_FOUND} SELECT item_id, count(*) AS n_documents, round(max(c / n), 6) AS most_covered FROM found GROUP BY item_id"
 
 ORACLE: dict[str, str] = {
-    "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p7_found": P7_FOUND, "p7_items": P7_ITEMS,
+    "p1_found": P1_FOUND, "p1_quotas": P1_QUOTAS, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p7_found": P7_FOUND, "p7_items": P7_ITEMS,
 }

@@ -31,6 +31,12 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_shares(rows)
 
 
+def p1_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every orbit's shares are met to within a block, and no block is divided."""
+    rows, _, _ = splits.split_related(table(spark, d, "observations"))
+    return splits.split_quotas(rows)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The row that supplies each field of each station with several rows."""
     won = survivors.elect(survivors.long_rows(table(spark, d, "stations")), "precedence")
@@ -96,6 +102,6 @@ def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p1_shares, p2_found, p2_survivors, p3_found, p3_groups, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_scores, p8_source_rates,
+        p1_found, p1_splits, p1_shares, p1_quotas, p2_found, p2_survivors, p3_found, p3_groups, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_scores, p8_source_rates,
     )
 }

@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,52 @@ def test_flow_is_near_the_best():
     assert all(f[1] == 0 for f in splits.allocate([(5, (1.0,)), (3, (2.0,))], [1.0, 0.0]))
 
 
+def _least_cost(bundles, shares):
+    """By trying every way of dealing the units."""
+    units = [p for n, p in bundles for _ in range(n)]
+    quota = np.outer(shares, np.sum(units, axis=0))
+    best = np.inf
+    for deal in itertools.product(range(len(shares)), repeat=len(units)):
+        left = quota.copy()
+        for j, p in zip(deal, units, strict=True):
+            left[j] -= p
+        best = min(best, float((left * left / np.maximum(quota, 1)).sum()))
+    return best
+
+
+def _cost(bundles, shares):
+    net = splits.Network(bundles, shares)
+    net.flow = np.array(splits.allocate(bundles, shares))
+    net.left = net.quota - net.flow.T @ net.profile
+    return net.cost()
+
+
+def test_flow_is_optimal_for_blocks_of_one_kind():
+    for n, size in ((7, 1.0), (7, 13.0), (5, 3.0)):
+        for shares in ([0.8, 0.1, 0.1], [0.5, 0.3, 0.2]):
+            assert _cost([(n, (size,))], shares) == pytest.approx(_least_cost([(n, (size,))], shares), abs=1e-9)
+
+
+def test_gap_of_the_flow_to_the_optimum():
+    """Seven blocks of mixed size and orbit: the partition problem at its worst."""
+    rng, exact = random.Random(5), 0
+    for _ in range(20):
+        bundles = []
+        while sum(n for n, _ in bundles) < 7:
+            bundles.append((rng.randrange(1, 3), (float(rng.randrange(0, 20)), float(rng.randrange(0, 20)))))
+        got, best = _cost(bundles, [0.6, 0.2, 0.2]), _least_cost(bundles, [0.6, 0.2, 0.2])
+        exact += got <= best + 1e-6
+        assert best - 1e-6 <= got <= best + 6
+    assert exact >= 10
+
+
+def test_gap_is_next_to_nothing_for_many_blocks():
+    """The cost of fractional flow is zero, so the cost reached bounds the gap."""
+    rng = random.Random(6)
+    bundles = [(rng.randrange(1, 5), (float(rng.randrange(600)), float(rng.randrange(600)), float(rng.randrange(9)))) for _ in range(400)]
+    assert _cost(bundles, [0.8, 0.1, 0.1]) < 0.01
+
+
 def test_groups(spark):
     m = spark.createDataFrame([("a-1", "B2", "Match "), ("b2", "C3", "no_match"), ("C3", "c 3", "match"), (None, "D4", "match"), ("n/a", "E5", "match"), ("Z9", "E5", None), ("GONE", "A1", "MATCH")], "station_a string, station_b string, verdict string").withColumn("a", F.lit(1))
     v = spark.createDataFrame([("C3", "r1_c1"), ("D4", "r1_c1"), ("e5", " "), ("F6", ""), ("G7", None), ("unknown", "r1_c1"), ("D4", "r1_c1"), ("B2", "r2_c2"), ("H8", "r2_c2")], "station_id string, group_id string")
