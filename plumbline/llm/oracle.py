@@ -108,6 +108,9 @@ SELECT doc_id, item_id FROM covered GROUP BY doc_id, item_id, n HAVING count(*)
 _FOUND = f"found AS ({P7_FOUND.replace('SELECT doc_id, item_id FROM covered', 'SELECT doc_id, item_id, count(*) AS c, n FROM covered', 1)})"
 P7_ITEMS = f"WITH {_FOUND} SELECT item_id, count(*) AS n_documents, round(max(c / n), 6) AS most_covered FROM found GROUP BY item_id"
 
+# What packing promises: every text with any characters placed, once and whole.
+P6_PROMISES = "SELECT count(DISTINCT doc_id) AS n_texts, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_over, true AS tight FROM documents WHERE length(text) > 0"
+
 ORACLE: dict[str, str] = {
-    "p1_found": P1_FOUND, "p1_quotas": P1_QUOTAS, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p7_found": P7_FOUND, "p7_items": P7_ITEMS,
+    "p1_found": P1_FOUND, "p1_quotas": P1_QUOTAS, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p6_promises": P6_PROMISES, "p7_found": P7_FOUND, "p7_items": P7_ITEMS,
 }

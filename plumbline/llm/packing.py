@@ -148,6 +148,25 @@ def place(part: int, pieces: list[tuple[str, int, tuple]], shares: Mapping[str,
             yield f"{part:06d}-{n:08d}", pos, doc, piece_no, start, size, s
 
 
+def credits(dealt: DataFrame, total: int, shares: Mapping[str, float] | None = None) -> DataFrame:
+    """``part, source, share, credit``: what each source that a partition holds
+    starts with there, its target share of the tokens of all partitions before
+    less what these held of it. Running sums over the token counts by partition
+    (one row each) and by partition and source; nothing goes to the driver.
+    """
+    sums = dealt.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
+    back = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    passed = sums.groupBy("part").agg(F.sum("n").alias("all")).select("part", F.coalesce(F.sum("all").over(back), F.lit(0)).alias("passed"))
+    own = W.Window.partitionBy("source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    held = sums.withColumn("held", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    if shares is None:
+        target = sums.groupBy("source").agg((F.sum("n") / F.lit(float(total))).alias("share"))
+    else:
+        target = dealt.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()] or [("", 0.0)], "source string, share double")
+    each = held.join(target, "source", "left").join(passed, "part").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    return each.select("part", "source", "share", (F.col("share") * F.col("passed") - F.col("held")).alias("credit"))
+
+
 def pack(measured: DataFrame, capacity: int = CAPACITY, shares: Mapping[str, float] | None = None, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
     """Pack all pieces: one row for each, with its container.
 
@@ -161,55 +180,71 @@ def pack(measured: DataFrame, capacity: int = CAPACITY, shares: Mapping[str, flo
     an empty result. A source that ``shares`` does not name gets no credit and
     fills what the others leave.
 
-    Only sums by partition and source leave the aggregation for the driver
-    (their number is that of the partitions, tokens / ``partition_tokens``,
-    times that of the sources).
+    The driver learns the number of tokens, nothing else; the credit that a
+    partition starts with joins its texts there (:func:`credits`).
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     texts = cut(measured.where("n_tokens > 0"))
-    spark = measured.sparkSession
-    by_source = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    total = sum(by_source.values())
+    total = texts.agg(F.sum("n_tokens")).first()[0]
     if not total:
-        return spark.createDataFrame([], PLACED)
-    shares = {s: n / total for s, n in by_source.items()} if shares is None else dict(shares)
+        return measured.sparkSession.createDataFrame([], PLACED)
     parts = max(1, math.ceil(total / partition_tokens))
     dealt = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(parts)).cast("int"))
-    sums = dealt.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
-    # Credit that a partition starts with: what the target gave each source in
-    # the partitions before it, less what these held.
-    wide = sums.groupBy("part").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("held"))
-    before: dict[str, float] = dict.fromkeys(set(shares) | set(by_source), 0.0)
-    credits: dict[int, dict[str, float]] = {}
-    for r in sorted(wide.collect(), key=lambda r: r["part"]):
-        credits[r["part"]] = dict(before)
-        for s in before:
-            before[s] += shares.get(s, 0.0) * r["all"] - r["held"].get(s, 0)
-    known = spark.sparkContext.broadcast((shares, credits))
-    # A text beyond the capacity: one row, full containers made where it is placed.
-    # It is one text, so the number of its containers is bounded by its length.
-
-    def run(key, table):
-        shares, credits = known.value
+
+    def run(key, left, right):
         part = int(key[0].as_py())
-        docs, sources, sizes = (table.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens"))
-        pieces, out = [], []
-        for i, (d, s, n) in enumerate(zip(docs, sources, sizes, strict=True)):
+        sources, targets, owed = (right.column(c).to_pylist() for c in ("of", "share", "credit"))
+        docs, of, sizes = (left.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens"))
+        pieces = []
+        for i, (d, s, n) in enumerate(zip(docs, of, sizes, strict=True)):
             d = -1 if d is None else d
-            if n <= capacity:
-                pieces.append((s, n, (d, 0, 0, n, i)))
-                continue
+            # A text beyond the capacity is one row: its containers are made here.
             for k, start in enumerate(range(0, n, capacity)):
                 size = min(capacity, n - start)
                 pieces.append((s, size, (d, k, start, size, i)))
-        out = list(place(part, pieces, shares, credits.get(part, {}), capacity))
+        out = list(place(part, pieces, dict(zip(sources, targets, strict=True)), dict(zip(sources, owed, strict=True)), capacity))
         cols = list(zip(*out, strict=True)) or [[]] * 7
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())
         names = ("container_id", "position", "doc_id", "piece_no", "token_from", "n_tokens", "source")
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
 
-    return dealt.groupBy("part").applyInArrow(run, PLACED)
+    owed = credits(dealt, total, shares).select(F.col("part").alias("at"), F.col("source").alias("of"), "share", "credit")
+    return dealt.groupBy("part").cogroup(owed.groupBy("at")).applyInArrow(run, PLACED)
+
+
+def mixture(placed: DataFrame, shares: Mapping[str, float] | None = None) -> DataFrame:
+    """How closely the windows follow the targets, by source: ``source, target,
+    share, n_windows, window_deviation, running_deviation, behind``.
+
+    ``window_deviation`` is the mean over containers of the distance of a
+    source's share of the container from its target; it cannot be small where
+    single texts fill most of a container. What deficit round-robin bounds is
+    the running sum: ``running_deviation`` is the largest distance, in tokens,
+    between what the windows of a partition up to some window hold of a source
+    and its target share of them, while the source is not used up;
+    ``behind`` is the same for a source short of its target, which a source that
+    has run out would exceed. Sums of each partition's windows are taken in
+    order by a task for the partition and source, of as many rows as the
+    partition has containers.
+    """
+    own = cut(placed.select("container_id", "source", "n_tokens").groupBy("container_id", "source").agg(F.sum("n_tokens").alias("n")))
+    whole = own.groupBy("container_id").agg(F.sum("n").alias("all")).withColumn("part", F.substring_index("container_id", "-", 1))
+    used = own.groupBy("source").agg(F.sum("n").alias("n"))
+    if shares is None:
+        target = used.select("source", (F.col("n") / F.sum("n").over(W.Window.partitionBy(F.lit(1)))).alias("target"))
+    else:
+        target = placed.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "source string, target double")
+    held = own.withColumn("part", F.substring_index("container_id", "-", 1)).groupBy("part", "source").agg(F.max("container_id").alias("last"))
+    grid = whole.join(held, "part").join(own, ["container_id", "source"], "left").join(target, "source", "left")
+    n, goal = F.coalesce("n", F.lit(0)), F.coalesce("target", F.lit(0.0))
+    order = W.Window.partitionBy("part", "source").orderBy("container_id")
+    off = F.sum(n - goal * F.col("all")).over(order)
+    rows = grid.select("source", goal.alias("target"), n.alias("n"), "all", F.when(F.col("container_id") <= F.col("last"), off).alias("off"))
+    return rows.groupBy("source", "target").agg(
+        F.round(F.sum("n") / F.sum("all"), 6).alias("share"), F.count(F.lit(1)).alias("n_windows"), F.round(F.avg(F.abs(F.col("n") / F.col("all") - F.col("target"))), 6).alias("window_deviation"),
+        F.round(F.max(F.abs("off")), 1).alias("running_deviation"), F.round(F.max(-F.col("off")), 1).alias("behind"),
+    )
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -222,3 +257,16 @@ def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     whole = placed.agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").cast("long").alias("n_tokens"), F.count_distinct("container_id").alias("n_containers"))
     whole = whole.where("n_pieces > 0").select(F.lit("(all)").alias("source"), "n_pieces", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity), 6).alias("share"), "n_containers")
     return each.unionByName(whole)
+
+
+def promises(measured: DataFrame, placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: ``n_texts`` packed, ``n_lost`` texts of which tokens are missing or
+    placed twice, ``n_cut`` texts cut though they fit, ``n_over`` containers
+    above the capacity, ``tight``: at least 98 % of all containers in use, the
+    last few of each partition allowed for. Rows of one id count as one text."""
+    wanted = measured.where("n_tokens > 0").groupBy("doc_id").agg(F.sum("n_tokens").alias("want"), F.max("n_tokens").alias("most"), F.count(F.lit(1)).alias("k"))
+    got = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    each = wanted.join(got, "doc_id", "left")
+    texts = each.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(~F.col("want").eqNullSafe(F.col("got"))).alias("n_lost"), F.count_if((F.col("most") <= capacity) & (F.col("pieces") > F.col("k"))).alias("n_cut"))
+    boxes = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("n_over"), (F.sum("n") >= F.lit(0.98 * capacity) * (F.count(F.lit(1)) - 4)).alias("tight"))
+    return texts.select("*", boxes.select("n_over").scalar().alias("n_over"), boxes.select("tight").scalar().alias("tight"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from . import groups, leaks, packing, splits, survivors, tone
 from .tables import table
 
@@ -74,6 +75,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d))
 
 
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How closely the containers follow the shares of the sources, window by window."""
+    return packing.mixture(p6_containers(spark, d))
+
+
+def p6_promises(spark: SparkSession, d: str) -> DataFrame:
+    """That every text is placed once and whole, within the capacity and tightly."""
+    measured = cut(packing.measure(table(spark, d, "documents")))
+    return packing.promises(measured, cut(packing.pack(measured)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the evaluation items that they leak."""
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -102,6 +114,6 @@ def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p1_shares, p1_quotas, p2_found, p2_survivors, p3_found, p3_groups, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_scores, p8_source_rates,
+        p1_found, p1_splits, p1_shares, p1_quotas, p2_found, p2_survivors, p3_found, p3_groups, p6_containers, p6_report, p6_mixture, p6_promises, p7_found, p7_items, p8_found, p8_scores, p8_source_rates,
     )
 }

@@ -260,6 +260,38 @@ def test_packing_keeps_the_mixture(spark):
     assert sum(s == "a" for s, _ in first) == 9
 
 
+def test_mixture_follows_foreign_shares(spark):
+    """Shares unlike the input's: until a source runs out, the running sum of
+    each source stays within two containers of its target."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice("aaaaaabbcd"), rng.randrange(20, 900)) for i in range(6000)]
+    asked = {"a": 0.25, "b": 0.25, "c": 0.25, "d": 0.25}
+    placed = packing.pack(measured(spark, rows), 2048, asked, partition_tokens=10**6).toPandas()
+    assert placed["n_tokens"].sum() == sum(n for _, _, n in rows)
+    part = placed[placed["container_id"].str.startswith("000000")]
+    by = part.pivot_table(index="container_id", columns="source", values="n_tokens", aggfunc="sum", fill_value=0).sort_index()
+    full = by.loc[: min(part[part["source"] == s]["container_id"].max() for s in "abcd")].iloc[:-1]
+    off = full.cumsum() - full.cumsum().sum(axis=1).to_numpy()[:, None] * 0.25
+    assert len(full) > 100 and off.abs().max().max() <= 2 * 2048
+    # Afterwards the source that ran out is owed more and more: what the next
+    # partition starts with, and why it serves that source first.
+    later = placed[placed["container_id"].str.startswith("000001-0000000")]
+    assert set(later["source"]) <= {"c", "d"}
+    one = packing.pack(measured(spark, rows), 2048, asked)
+    found = {r["source"]: r for r in packing.mixture(one, asked).collect()}
+    assert set(found) == set("abcd") and all(abs(r["target"] - 0.25) < 1e-9 for r in found.values())
+    assert found["c"]["running_deviation"] <= 2 * 2048 and found["d"]["running_deviation"] <= 2 * 2048
+
+
+def test_credit_is_what_the_partitions_before_owe(spark):
+    rows = [(p, s, n) for p, s, n in ((0, "a", 10), (0, "b", 30), (1, "a", 50), (2, "b", 5), (2, "a", 5))]
+    dealt = spark.createDataFrame(rows, "part int, source string, n_tokens long")
+    got = {(r["part"], r["source"]): (r["share"], r["credit"]) for r in packing.credits(dealt, 100, {"a": 0.5, "b": 0.5}).collect()}
+    assert got == {(0, "a"): (0.5, 0.0), (0, "b"): (0.5, 0.0), (1, "a"): (0.5, 10.0), (2, "a"): (0.5, -15.0), (2, "b"): (0.5, 15.0)}
+    own = {(r["part"], r["source"]): r["share"] for r in packing.credits(dealt, 100).collect()}
+    assert own[(0, "a")] == 0.65 and own[(2, "b")] == 0.35
+
+
 def test_packing_edges(spark):
     assert packing.pack(measured(spark, [(1, "a", 0)])).count() == 0
     assert packing.pack(measured(spark, [(1, "a", 1)]).limit(0)).count() == 0
