@@ -116,7 +116,7 @@ def cues(text: str, behind: bool) -> re.Pattern[bytes]:
     out = ""
     for token in text.split():
         forms, may = token.removesuffix("?"), token.endswith("?")
-        kinds = [r"[a-z0-9@$*']+" if f == "*" else "[a-z0-9]{2,}" + re.escape(f[1:]) if f[0] == "+" else _word(f, 2) for f in forms.split("|")]
+        kinds = [r"[a-z0-9@$*']+" if f == "*" else _word(f[:-2], 2) + "(?:" + _word("s", 2) + ")?" if f.endswith("s?") else "[a-z0-9]{2,}" + re.escape(f[1:]) if f[0] == "+" else _word(f, 2) for f in forms.split("|")]
         each = f"(?:{'|'.join(kinds)})(?![a-z0-9])"
         out += f"(?:{_GAP}{each})" if behind else f"(?:(?<![a-z0-9]){each}{_GAP})"
         out += "?" * may
@@ -159,13 +159,13 @@ class Lexicon:
             for n in (1, 2):
                 for hidden in combinations(range(1, len(word) - 1), n):
                     self.masked.setdefault("".join("*" if i in hidden else c for i, c in enumerate(word)).encode(), word.encode())
-
-
         # Single words by length and first letter, the weightiest first.
         self.single: dict[tuple[int, int], list[bytes]] = {}
         for phrase, _, weight in sorted(listed, key=lambda x: -x[2]):
             if " " not in phrase and weight >= 0.2 and len(phrase) > 3:
                 self.single.setdefault((len(phrase), ord(phrase[0])), []).append(phrase.encode())
+        self.joined = {key for key, words in self.single.items() if _JOINED & set(words)}
+        self.first = np.isin(np.arange(256), [c for _, c in self.single])
 
     def pattern(self, e: int) -> re.Pattern[bytes]:
         if e not in self.compiled:  # most entries occur in no text of a task
@@ -230,13 +230,17 @@ def unmask(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon)
     return data
 
 
-#: A word with signs in place of letters; only * and # also hide the last ones, + a last t.
-_SIGNED = re.compile(rb"[a-z][a-z0-9]{0,11}(?:(?:[*#_.\-!|+]{1,6}[a-z0-9]{1,8})+(?:[*#]{1,6}(?![*#])|[+](?![+=]))?|[*#]{2,6}(?![*#])|[+](?![+=]))")
 _SIGNS = frozenset(b"*#_.-!|+")
+_SIGN = np.isin(np.arange(256), list(_SIGNS))
+#: Signs that stand at the end of a word for letters, not for themselves.
+_JOINS = np.frombuffer(b"_.-", np.uint8)
+_LAST = np.isin(np.arange(256), list(b"*#+"))
 #: Signs that look like letters stand for no others.
 _LOOKS = {ord("!"): b"il", ord("|"): b"il", ord("+"): b"t"}
 #: Words known by their first letter alone.
 _BY_ONE = {b"fuck", b"shit", b"cunt", b"bitch"}
+#: Words of which signs that join names in code may hide letters.
+_JOINED = _BY_ONE | {b"fucking", b"fucker", b"fuckers", b"fucked", b"shitty", b"bullshit", b"asshole", b"assholes", b"motherfucker", b"bastard", b"nigger", b"niggers", b"faggot", b"faggots", b"whore", b"whores", b"slut", b"sluts"}
 
 
 def hidden_word(token: bytes, lex: Lexicon) -> bytes | None:
@@ -245,27 +249,66 @@ def hidden_word(token: bytes, lex: Lexicon) -> bytes | None:
     seen = [i for i, c in enumerate(token) if c not in _SIGNS]
     if len(seen) == len(token) or len(token) < 4:
         return None
+    joins = any(c in _JOINS for c in token)
     for word in lex.single.get((len(token), token[0]), ()):
+        if joins and word not in _JOINED:
+            continue
         if (len(seen) > 1 or word in _BY_ONE) and all((_FOLD[c] == _FOLD[w]) if c not in _SIGNS else (w in _LOOKS.get(c, (w,))) for c, w in zip(token, word, strict=True)):
             return word
     return None
 
 
 def unsign(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon) -> np.ndarray:
-    """Put the letters back for which other signs stand in a word of the lexicon."""
-    copied, lower = False, _LOWER[data].tobytes()
-    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        for m in _SIGNED.finditer(lower, start, end):
-            a, b = m.span()
-            if (b - a, lower[a]) not in lex.single or a > start and _LETTER[lower[a - 1]] or b < end and _LETTER[lower[b]]:
-                continue
-            word = hidden_word(m.group(), lex)
-            if word:
-                data, copied = data if copied else data.copy(), True
-                data[a:b] = np.frombuffer(word, np.uint8)
+    """Put the letters back for which other signs stand in a word of the
+    lexicon: in a run of letters and signs, from its first letter to its last
+    letter or hiding sign, of the length and first letter of an entry."""
+    lower = _LOWER[data]
+    sign, letter = _SIGN[lower], _LETTER[lower]
+    if not sign.any():
+        return data
+    inside = sign | letter
+    cut = np.flatnonzero(inside[1:] & inside[:-1]) + 1  # a text may end inside a run
+    begin = inside.copy()
+    begin[cut] = False
+    begin[starts[starts < len(data)]] |= inside[starts[starts < len(data)]]
+    at = np.flatnonzero(begin)
+    stop = np.append(at[1:], len(data))
+    size = np.add.reduceat(inside.astype(np.int32), at) if len(at) else np.zeros(0, np.int32)
+    stop = np.minimum(stop, at + size)
+    count = np.concatenate([[0], np.cumsum(sign)])
+    few = (size >= 4) & (size <= 24) & (count[stop] > count[at])
+    joins = np.concatenate([[0], np.cumsum(np.isin(lower, _JOINS))])
+    copied = False
+    for a, b in zip(at[few].tolist(), stop[few].tolist(), strict=True):
+        while a < b and not lex.first[lower[a]]:
+            if letter[a]:
+                break
+            a += 1
+        while b > a and sign[b - 1] and not _LAST[lower[b - 1]]:
+            b -= 1
+        if (b - a, int(lower[a]) if a < b else 0) not in (lex.joined if joins[b] > joins[a] else lex.single):
+            continue
+        word = hidden_word(lower[a:b].tobytes(), lex)
+        if word and not (lower[b - 1] == 0x2B and b - a > 1 and lower[b - 2] == 0x2B):
+            data, copied = data if copied else data.copy(), True
+            data[a:b] = np.frombuffer(word, np.uint8)
     return data
 
 
+def _edges(data: np.ndarray, starts: np.ndarray, kept: np.ndarray, new: np.ndarray) -> tuple[bytes, bytes]:
+    """For every run of equal folded letters (``new`` has the place in ``kept``
+    of its first) whether a word can begin in it, and whether one can end: at
+    its edge or at a gap inside."""
+    first, last = kept[new], kept[np.append(new[1:], len(kept)) - 1]
+    gap = last - first + 1 > np.diff(np.append(new, len(kept)))
+    letter = _LETTER[data]
+    fresh = np.zeros(len(data) + 1, bool)  # texts stand side by side
+    fresh[starts] = fresh[0] = fresh[-1] = True
+    before = fresh[first] | ~letter[first - 1]
+    behind = fresh[last + 1] | ~letter[np.minimum(last + 1, len(data) - 1)]
+    return (before | gap).tobytes(), (behind | gap).tobytes()
+
+
 def hits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon) -> dict[int, list[tuple[int, int, int]]]:
     """For each text with any: ``(from, to, entry)`` of verified hits, relative to its start."""
     data = unsign(unmask(data, starts, ends, lex), starts, ends, lex)
@@ -280,8 +323,11 @@ def hits(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lex: Lexicon) -
     new[np.minimum(np.searchsorted(kept, inside), len(kept) - 1)] = True
     at = kept[new]
     squashed = letters[new].tobytes().decode("ascii")
+    begins, stops = _edges(data, inside, kept, np.flatnonzero(new))
     lower, found = None, {}
     for end, (length, which) in lex.automaton.iter(squashed):
+        if not (begins[end - length + 1] and stops[end]):
+            continue
         first, last = int(at[end - length + 1]), int(at[end])
         t = int(np.searchsorted(ends, first, "right"))
         a, b = int(starts[t]), int(ends[t])

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import leaks, packing, textbytes, tone
 
+from .probes import PROBES
+
 VOCABULARY = Path(packing.DEFAULT_VOCABULARY)
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -195,6 +197,22 @@ def test_labels(small):
     assert right >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("kind", list(PROBES))
+def test_sentences_of_our_own(kind):
+    """Half of them were seen when the lexicon was extended, see ``probes``."""
+    texts = PROBES[kind].strip().split("\n")
+    found = scores(texts)[0]
+    right = sum(f == set() if kind == "clean" else kind in f for f in found)
+    assert right >= 0.9 * len(texts), [t for t, f in zip(texts, found, strict=True) if kind not in f]
+
+
+def test_own_files_are_clean():
+    """Plain code and prose of the library: nothing but the word lists."""
+    root = Path(tone.__file__).parents[1]
+    files = [p for p in root.rglob("*.py") if p.name not in ("lexicon.py", "tone.py")]
+    assert len(files) > 20 and not any(scores([p.read_text() for p in files])[0])
+
+
 def test_any_part_of_a_long_text(monkeypatch):
     filler = "The quiet index sorts a record. "
     for at in (0, 1, 2, 3):
@@ -205,7 +223,7 @@ def test_any_part_of_a_long_text(monkeypatch):
     for shift in range(0, 120, 7):
         found, total, words = scores(["ok", "x" * shift + " " + filler * 30 + "drop dead, you worthless idiot. " + filler * 60])
         assert found == [set(), {"abusive"}]
-    assert words[1] == 1 + 6 * 90 + 5 and total[1, 0] == pytest.approx(1 + 0.4 + 0.5)
+    assert words[1] == 1 + 6 * 90 + 5 and total[1, 0] == pytest.approx(0.6 + 0.4 + 0.5)
 
 
 def test_tone_on_a_table(spark):
