@@ -14,6 +14,7 @@ from .functions.geometry import BASIS
 from .operators import crossval, figures, raster, verify
 from .operators.selection import RATES, SIGMAS, Rules, has_sigmas, require_columns, require_unique
 from .plans import pipelines
+from .plans.lineage import cut
 from .plans.report import build_report, labeled_path
 from .plans.ship import ship_package
 from .sources import geotiff, sinks, tables
@@ -64,7 +65,7 @@ def compare(a: argparse.Namespace) -> None:
         raise ValueError("the tolerance must not be negative")
     out = sinks.prepare_output(a.output_dir, a.overwrite)
     spark = session()
-    stations = tables.read_stations(spark, a.stations)
+    stations = tables.with_source_row(tables.read_stations(spark, a.stations))
     require_columns(stations, STATION_COLUMNS)
     metadata = load_metadata(a.metadata, a.mode, any(s in stations.columns for s in SIGMAS))
     has_sigmas(stations)
@@ -85,9 +86,10 @@ def compare(a: argparse.Namespace) -> None:
     n, included = values.agg(F.count(F.lit(1)), F.count_if("include_in_metrics")).first()
     if not included:
         raise ValueError("no station is left to compare")
-    sinks.write_table(values, out / "station_values", ("station_id",), a.overwrite)
+    row = ("source_row",)
+    sinks.write_table(values, out / "station_values", row, a.overwrite, a.format, row)
     sinks.write_table(pipelines.metrics_frame(values, insar, gnss, a.label, metadata["comparison_role"], a.tolerance), out / "metrics", (), a.overwrite)
-    sinks.write_table(pipelines.exclusions(values), out / "exclusions", ("station_id",), a.overwrite)
+    sinks.write_table(pipelines.exclusions(values, keep=row), out / "exclusions", row, a.overwrite, a.format, row)
     sinks.write_json(out / "provenance.json", sinks.provenance(a.mode, metadata, paths, _selection(rules), {"stations": n, "included": included}))
     values.unpersist()
     print(out)
@@ -98,13 +100,15 @@ def cross_validate(a: argparse.Namespace) -> None:
     metadata = load_metadata(a.metadata, "cross-validate")
     out = sinks.prepare_output(a.output_dir, a.overwrite)
     spark = session()
-    own = crossval.gate(tables.read_observations(spark, a.observations)).persist()
+    own = crossval.gate(tables.with_source_row(tables.read_observations(spark, a.observations))).persist()
     found = crossval.CrossValidation(own, a.trials, a.holdout_fraction, a.seed, a.maximum_condition_number, a.tolerance, "numpy")
-    orders = {"loocv_station_values": ("orbit", "fold", "station_id"), "loocv_folds": ("orbit", "fold"), "cv_trials": ("orbit", "trial"), "cv_assignments": ("orbit", "trial", "group_id"), "cv_distribution": ("orbit", "scope")}
+    orders = {"loocv_folds": ("orbit", "fold"), "cv_trials": ("orbit", "trial"), "cv_assignments": ("orbit", "trial", "group_id"), "cv_distribution": ("orbit", "scope")}
     for name in found.TABLES:
         df = found.table(name)
         order = tuple(c for c in orders.get(name, ("orbit",)) if c in df.columns)
-        sinks.write_table(df, out / name, order, a.overwrite)
+        if name == "loocv_station_values":
+            order = ("source_row",)
+        sinks.write_table(df, out / name, order, a.overwrite, a.format, ("source_row",))
     counts = own.agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("orbit").alias("orbits"), F.count_distinct("orbit", "group_id").alias("orbit_groups")).first().asDict()
     model = {"basis": list(BASIS), "trials": a.trials, "holdout_fraction": a.holdout_fraction, "seed": a.seed, "maximum_condition_number": a.maximum_condition_number}
     sinks.write_json(out / "provenance.json", sinks.provenance("cross-validate", metadata, {"observations": a.observations, "metadata": a.metadata}, {}, counts, model=model))
@@ -136,23 +140,108 @@ def preflight(a: argparse.Namespace) -> dict:
     return result
 
 
+def _filters(a: argparse.Namespace) -> dict[str, str]:
+    found = [t.partition("=") for t in a.metric_filter]
+    wrong = [c + m + v for c, m, v in found if not m or not c.strip()]
+    if wrong:
+        raise ValueError(f"expected COLUMN=VALUE, not {wrong[0]!r}")
+    return {c.strip(): v.strip() for c, _, v in found}
+
+
+def _map_inputs(a: argparse.Namespace, spark: SparkSession) -> tuple[DataFrame, dict, dict, tuple[DataFrame, DataFrame]]:
+    """Saved values and metrics of a map and its raster, all held against each
+    other: the values, the metrics made anew, the raster's facts, the raster."""
+    values = cut(verify.read_station_values(spark, a.station_values, a.mode))
+    own = verify.verify_metrics(values, tables.select_one(tables.read_strict(spark, a.metrics), _filters(a)), a.mode)
+    cells, meta = load_raster(spark, a.raster, "map")
+    facts = raster.inspect(cells, meta)
+    insar = verify.VALUE[a.mode][0]
+    verify.verify_samples(values.withColumn("raster_id", F.lit("map")), cells, meta, a.sample_tolerance, value=insar)
+    return values, own, facts, (cells, meta)
+
+
+def _positive(*limits: float | None) -> None:
+    for v in limits:
+        if v is not None and not 0 < v < float("inf"):
+            raise ValueError("limits and widths must be positive and finite")
+
+
+def _trial_groups(a: argparse.Namespace, spark: SparkSession) -> tuple[DataFrame, DataFrame | None]:
+    trials = cut(tables.read_trials(spark, a.trials, a.group_column))
+    if a.metrics is None:
+        return trials, None
+    loocv = tables.read_loocv_metrics(spark, a.metrics, a.group_column)
+    tables.check_group_cover(loocv, trials, a.group_column)
+    return trials, loocv
+
+
+def _show(result: dict, output: str | None = None, overwrite: bool = False) -> dict:
+    if output is not None:
+        if Path(output).exists() and not overwrite:
+            raise FileExistsError(f"{output} exists")
+        sinks.write_json(output, result)
+    print(json.dumps(result, indent=2, sort_keys=True))
+    return result
+
+
 def plot_data(a: argparse.Namespace) -> dict:
-    """Verify saved values and metrics and print what a figure needs."""
-    _exist([a.station_values, a.metrics])
+    """Verify saved values, metrics and raster samples and give what a figure needs."""
+    _exist([a.station_values, a.metrics, a.raster])
+    value_limit, bin_width, scatter = a.value_limit, getattr(a, "hist_bin_width", None), getattr(a, "scatter_range", None)
+    _positive(value_limit, a.residual_limit, bin_width)
+    if scatter and not scatter[0] < scatter[1]:
+        raise ValueError("the scatter range is empty")
     spark = session()
-    values = tables.read_table(spark, a.station_values, [*tables.STATION_NUMBERS, *verify.VALUE[a.mode], "residual_mm_per_year"])
-    saved = tables.select_one(tables.read_strict(spark, a.metrics), dict(t.split("=", 1) for t in a.metric_filter))
+    values, own, facts, (cells, meta) = _map_inputs(a, spark)
     insar, gnss, sigma = verify.VALUE[a.mode]
-    own = verify.verify_metrics(values, saved, a.mode)
-    inc = values.where(F.coalesce(tables.parse_flag("include_in_metrics"), F.lit(False)))
-    limit = figures.robust_symmetric_limit(inc, "residual_mm_per_year", quantile=a.color_quantile).first()[0]
-    width = figures.bin_width(inc, "residual_mm_per_year").first()[0]
-    most = max(limit, 1.05 * max(abs(own["minimum_residual_mm_per_year"]), abs(own["maximum_residual_mm_per_year"])))
-    low, high = figures.axis_range(inc, insar, gnss, sigma).first()
-    bins = [r.asDict() for r in figures.histogram(inc, "residual_mm_per_year", most, width).orderBy("bin").collect()]
-    result = {"metrics": own, "color_limit": limit, "bin_width": width, "histogram": bins, "axis": [low, high], "tick": figures.tick_step(high - low, 5), "legend": figures.legend_values(inc, sigma)}
-    print(json.dumps(result, indent=2, sort_keys=True))
-    return result
+    inc = values.where(tables.parse_flag("include_in_metrics"))
+    region = a.region or facts["region"]
+    shown = raster.crop(cells, meta, *region)
+    limits = figures.robust_symmetric_limit(shown, "cell_value", quantile=a.color_quantile).first()[0]
+    if limits is None:
+        raise ValueError("the region holds no data")
+    residual_limit = a.residual_limit or figures.robust_symmetric_limit(inc, "residual_mm_per_year", quantile=a.color_quantile).first()[0]
+    result = {"command": a.mode, "metrics": own, "raster": facts, "region": list(region), "value_limit": value_limit or limits, "residual_limit": residual_limit, "legend": figures.legend_values(inc, sigma), "offset_removed": False}
+    if a.mode == "vlm":
+        width = bin_width or figures.bin_width(inc, "residual_mm_per_year").first()[0]
+        most = max(residual_limit, 1.05 * max(abs(own["minimum_residual_mm_per_year"]), abs(own["maximum_residual_mm_per_year"])))
+        low, high = scatter or figures.axis_range(inc, insar, gnss, sigma).first()
+        bins = [r.asDict() for r in figures.histogram(inc, "residual_mm_per_year", most, width).orderBy("bin").collect()]
+        result |= {"bin_width": width, "histogram": bins, "axis": [low, high], "tick": figures.tick_step(high - low, 5)}
+    return _show(result, a.output, a.overwrite)
+
+
+def plot_cv(a: argparse.Namespace) -> dict:
+    """Medians of the trials of each group and its leave-one-out RMS, with the axis."""
+    _exist([a.trials, *([a.metrics] if a.metrics else [])])
+    _positive(a.rms_limit)
+    spark = session()
+    trials, loocv = _trial_groups(a, spark)
+    g = a.group_column
+    found = figures.trial_medians(trials, loocv, g).collect()
+    top = max((r["largest"] for r in found), default=0.0)
+    groups = {r[g]: {k: r[k] for k in ("trials", "all_median_rms_mm_per_year", "holdout_median_rms_mm_per_year", "loocv_rms_mm_per_year")} for r in found}
+    axis = a.rms_limit or (1.12 * top if top > 0 else 1.0)
+    return _show({"command": "cv-rms", "groups": groups, "axis": [0.0, axis], "tick": figures.tick_step(axis, 5), "note": "Only the held-out RMS is fully out of sample."}, a.output, a.overwrite)
+
+
+def plot_preflight(a: argparse.Namespace) -> dict:
+    """Whether saved tables can be drawn, and the versions in use; nothing is drawn."""
+    result = {"status": "ok", "mode": a.mode, **sinks.versions()}
+    needed = {"vlm": ("station_values", "metrics", "raster"), "los": ("station_values", "metrics", "raster"), "cv-rms": ("trials",), "dependencies": ()}[a.mode]
+    lacking = [n for n in needed if getattr(a, n) is None]
+    if lacking:
+        raise ValueError(f"{a.mode} needs {', '.join('--' + n.replace('_', '-') for n in lacking)}")
+    _exist([p for p in (a.station_values, a.metrics, a.raster, a.trials) if p is not None])
+    if a.mode in verify.VALUE:
+        values, own, facts, _ = _map_inputs(a, session())
+        n, included = values.agg(F.count(F.lit(1)), F.count_if(tables.parse_flag("include_in_metrics"))).first()
+        result |= {"station_rows": n, "included_in_metrics": included, "raw_metrics": own, "raster": {"file": Path(a.raster).name, **facts}, "exact_pixel_sampling_verified": True, "offset_removed": False}
+    elif a.mode == "cv-rms":
+        trials, loocv = _trial_groups(a, session())
+        found = figures.trial_medians(trials, loocv, a.group_column).collect()
+        result["groups"] = {r[a.group_column]: {"trials": r["trials"], "has_loocv_metric": r["loocv_rms_mm_per_year"] is not None} for r in found}
+    return _show(result)
 
 
 def report(a: argparse.Namespace) -> None:
@@ -188,6 +277,7 @@ def parser() -> argparse.ArgumentParser:
                 continue
             p.add_argument("--output-dir", required=True)
             p.add_argument("--overwrite", action="store_true")
+            p.add_argument("--format", choices=sinks.FORMS, default="csv", help="form of the larger tables")
             p.add_argument("--tolerance", type=float, default=2.0)
             if mode == "cross-validate":
                 p.add_argument("--trials", type=int, default=100)
@@ -202,13 +292,38 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(f"--{option}", type=float)
             p.add_argument("--label", default="formal")
             p.set_defaults(run=compare)
-    p = commands.add_parser("plot-data")
-    p.add_argument("mode", choices=("vlm", "los"))
-    p.add_argument("--station-values", required=True)
-    p.add_argument("--metrics", required=True)
+    modes = commands.add_parser("plot-data").add_subparsers(dest="mode", required=True)
+    for mode in ("vlm", "los"):
+        p = modes.add_parser(mode)
+        for option in ("raster", "station-values", "metrics"):
+            p.add_argument(f"--{option}", required=True)
+        p.add_argument("--metric-filter", action="append", default=[], metavar="COLUMN=VALUE")
+        p.add_argument("--region", nargs=4, type=float, metavar=("W", "E", "S", "N"))
+        p.add_argument("--residual-limit", type=float)
+        p.add_argument(f"--{mode}-limit", type=float, dest="value_limit")
+        p.add_argument("--color-quantile", type=float, default=98.0)
+        p.add_argument("--sample-tolerance", type=float, default=1e-4)
+        if mode == "vlm":
+            p.add_argument("--hist-bin-width", type=float)
+            p.add_argument("--scatter-range", nargs=2, type=float, metavar=("MIN", "MAX"))
+        p.set_defaults(run=plot_data)
+    p = modes.add_parser("cv-rms")
+    p.add_argument("--trials", required=True)
+    p.add_argument("--metrics")
+    p.add_argument("--group-column", default="orbit")
+    p.add_argument("--rms-limit", type=float)
+    p.set_defaults(run=plot_cv)
+    for p in modes.choices.values():
+        p.add_argument("--output", help="also write the JSON there")
+        p.add_argument("--overwrite", action="store_true")
+    p = commands.add_parser("plot-preflight")
+    p.add_argument("--mode", choices=("dependencies", "vlm", "los", "cv-rms"), default="dependencies")
+    for option in ("station-values", "metrics", "raster", "trials"):
+        p.add_argument(f"--{option}")
+    p.add_argument("--group-column", default="orbit")
     p.add_argument("--metric-filter", action="append", default=[], metavar="COLUMN=VALUE")
-    p.add_argument("--color-quantile", type=float, default=98.0)
-    p.set_defaults(run=plot_data)
+    p.add_argument("--sample-tolerance", type=float, default=1e-4)
+    p.set_defaults(run=plot_preflight)
     p = commands.add_parser("report")
     p.add_argument("--title", required=True)
     p.add_argument("--metadata", required=True)

@@ -15,13 +15,14 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.geometry import predict_quadratic
 from ..functions.scalar import is_finite
 from ..plans.lineage import cut
+from ..plans.skew import lookup
 from .metrics import NMAD_SCALE, RESIDUAL_METRICS, rms_distribution, summarize_residuals
 from .quadratic import FIT, MAX_CONDITION, WIDTH, design, factors, reduce_rows, solve
 from .selection import require_columns
@@ -87,8 +88,7 @@ def holdout_assignments(groups: DataFrame, trials: int = 100, fraction: float =
         k = F.create_map(*[F.lit(v) for o, n in sizes.items() for v in (o, n)])
         each = groups.select("orbit", "group_id", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
         mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("orbit"), F.col("trial").cast("string"), F.col("group_id")))
-        rank = F.row_number().over(W.Window.partitionBy("orbit", "trial").orderBy(mark, "group_id"))
-        return each.withColumn("_r", rank).where(F.col("_r") <= k[F.col("orbit")]).select("orbit", "trial", "group_id")
+        return _smallest(each.withColumn("_mark", mark), k[F.col("orbit")], max(counts.values(), default=0)).select("orbit", "trial", "group_id")
     if rng != "numpy":
         raise ValueError(f"unknown generator {rng!r}")
     names: dict[str, list[str]] = {}
@@ -103,6 +103,30 @@ def holdout_assignments(groups: DataFrame, trials: int = 100, fraction: float =
     return groups.sparkSession.createDataFrame(rows, "orbit string, trial int, group_id string")
 
 
+#: Groups of an orbit that one task ranks for a trial; beyond, by ranges of marks.
+RANKED_GROUPS = 1_000_000
+
+
+def _smallest(marked: DataFrame, k: Column, most: int) -> DataFrame:
+    """The ``k`` rows of smallest (_mark, group_id) for each orbit and trial.
+
+    An orbit of many groups is counted by the first three digits of the mark:
+    ranges wholly below the bound are taken as they are, and only the one range
+    that the bound cuts is ranked.
+    """
+    at = ["orbit", "trial"]
+    order = F.row_number().over(W.Window.partitionBy(*at).orderBy("_mark", "group_id"))
+    if most <= RANKED_GROUPS:
+        return marked.withColumn("_r", order).where(F.col("_r") <= k)
+    ranged = marked.withColumn("_range", F.substring("_mark", 1, 3))
+    n = ranged.groupBy(*at, "_range").count()
+    below = F.sum("count").over(W.Window.partitionBy(*at).orderBy("_range"))
+    bounds = n.select(*at, "_range", (below - F.col("count")).alias("_before"), below.alias("_below")).where(F.col("_before") < k)
+    kept = ranged.join(bounds, [*at, "_range"])
+    inner = kept.where(F.col("_below") > k).withColumn("_r", F.col("_before") + order).where(F.col("_r") <= k).drop("_r")
+    return kept.where(F.col("_below") <= k).unionByName(inner)
+
+
 MODEL = f"orbit string, split int, n_fitting_observations long, n_heldout_observations long, {FIT}"
 
 
@@ -215,11 +239,12 @@ def group_factors(observations: DataFrame) -> DataFrame:
     return cut(factors(own, ["orbit", "group_id"], X, Y, Z))
 
 
-def leave_one_out(observations: DataFrame, folds: DataFrame, models: DataFrame) -> DataFrame:
+def leave_one_out(observations: DataFrame, folds: DataFrame, models: DataFrame, total: int | None = None) -> DataFrame:
     """Every row with the correction that the other groups predict for it:
-    all columns, predicted_correction_mm_per_year, residual_mm_per_year."""
-    keyed = models.select("orbit", F.col("split").alias("fold"), "coefficients").join(folds, ["orbit", "fold"]).select("orbit", "group_id", "coefficients")
-    rows = observations.join(keyed, ["orbit", "group_id"])
+    all columns, predicted_correction_mm_per_year, residual_mm_per_year. Large
+    groups get their model by broadcast; ``total`` is the number of rows if known."""
+    keyed = models.select("orbit", F.col("split").alias("fold"), "coefficients").join(folds, ["orbit", "fold"]).select(F.struct("orbit", "group_id").alias("_group"), "coefficients")
+    rows = lookup(observations.withColumn("_group", F.struct("orbit", "group_id")), "_group", keyed, "inner", total).drop("_group")
     predicted = predict_quadratic("coefficients", X, Y)
     return rows.withColumn("predicted_correction_mm_per_year", predicted).withColumn("residual_mm_per_year", F.col(Z) - F.col("predicted_correction_mm_per_year")).drop("coefficients")
 
@@ -300,14 +325,14 @@ def split_metrics(observations: DataFrame, models: DataFrame, assignments: DataF
     most = observations.groupBy("orbit").count().agg(F.max("count")).first()[0] or 0
     if most <= GROUP_ROWS:
         return _packed_split_metrics(observations, models, assignments, tolerance, scopes)
-    held = assignments.groupBy("orbit", "group_id").agg(F.collect_list("split").alias("held"))
-    rows = observations.select("orbit", "group_id", X, Y, Z).join(held, ["orbit", "group_id"], "left")
+    held = assignments.groupBy(F.struct("orbit", "group_id").alias("_group")).agg(F.collect_list("split").alias("held"))
+    rows = lookup(observations.select("orbit", F.struct("orbit", "group_id").alias("_group"), X, Y, Z), "_group", held, "left")
     few = models.select("orbit", "split", "coefficients")
     if few.count() <= BROADCAST_MODELS:
         joined = rows.join(F.broadcast(few), "orbit")
     else:
         salts = 256
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("group_id", X, Y, Z), F.lit(salts)))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_group", X, Y, Z), F.lit(salts)))
         joined = salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["orbit", "_salt"])
     out_of_fit = F.coalesce(F.array_contains("held", F.col("split")), F.lit(False))
     wanted = [F.when(out_of_fit, F.lit("holdout")).otherwise(F.lit("fitting"))]
@@ -343,6 +368,10 @@ class CrossValidation:
     def factors(self) -> DataFrame:
         return group_factors(self.rows)
 
+    @cached_property
+    def n(self) -> int:
+        return self.factors.agg(F.sum("n")).first()[0] or 0
+
     @cached_property
     def folds(self) -> DataFrame:
         return cut(group_list(self.factors))
@@ -369,7 +398,7 @@ class CrossValidation:
         return found.select("orbit", "n_groups", "condition_number", *RESIDUAL_METRICS)
 
     def loocv_station_values(self) -> DataFrame:
-        return leave_one_out(self.rows, self.folds, self.fold_models)
+        return leave_one_out(self.rows, self.folds, self.fold_models, self.n)
 
     def loocv_metrics(self) -> DataFrame:
         found = summarize_residuals(self.loocv_station_values(), "residual_mm_per_year", ["orbit"], self.tolerance)

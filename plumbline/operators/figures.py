@@ -79,6 +79,19 @@ def axis_range(rows: DataFrame, insar: str, gnss: str, sigma: str | None = None)
     return ends.select((F.col("lo") - pad).alias("axis_minimum"), (F.col("hi") + pad).alias("axis_maximum"))
 
 
+def trial_medians(trials: DataFrame, loocv: DataFrame | None = None, group: str = "orbit") -> DataFrame:
+    """For each group its trials, the medians of their RMS over all and over
+    held-out rows, the largest of both, and its leave-one-out RMS or null."""
+    a, h = "all_rms_mm_per_year", "holdout_rms_mm_per_year"
+    half = F.lit(0.5)
+    own = trials.groupBy(group).agg(
+        F.count(F.lit(1)).alias("trials"), F.percentile(a, half).alias("all_median_rms_mm_per_year"), F.percentile(h, half).alias("holdout_median_rms_mm_per_year"), F.max(F.greatest(a, h)).alias("largest"),
+    )
+    if loocv is None:
+        return own.withColumn("loocv_rms_mm_per_year", F.lit(None).cast("double"))
+    return own.join(loocv.select(group, F.col("rms_mm_per_year").alias("loocv_rms_mm_per_year")), group, "left")
+
+
 def tick_step(span: float, intervals: int) -> float:
     """A step of 1, 2, 2.5 or 5 times a power of ten that gives about so many intervals."""
     raw = span / max(1, intervals)

@@ -168,6 +168,32 @@ def crop(cells: DataFrame, meta: DataFrame, west: float, east: float, south: flo
     return own.select("raster_id", "row_index", "column_index", x.alias("x"), y.alias("y"), "cell_value")
 
 
+def is_geographic(crs: str | None) -> bool:
+    """Whether a CRS has longitudes and latitudes: a code of that range, or so its text begins."""
+    named = normalized_crs(crs) or ""
+    code = named.removeprefix("EPSG:")
+    return 4000 <= int(code) < 5000 if code.isdigit() else named.startswith(("GEOGCS", "GEOGCRS", "GEODCRS", "OGC:CRS84"))
+
+
+def inspect(cells: DataFrame, meta: DataFrame) -> dict:
+    """Header and region (west, east, south, north) of the one raster to be
+    shown, with its number of cells with data; ValueError unless it has one
+    band, a geographic CRS and data."""
+    heads = summary(cells, meta).limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("one raster is needed")
+    r = heads[0].asDict()
+    if r["band_count"] != 1:
+        raise ValueError(f"{r['raster_id']} has {r['band_count']} bands")
+    if not is_geographic(r["crs"]):
+        raise ValueError(f"{r['raster_id']} has no geographic CRS: {r['crs']}")
+    if not r["n_valid"]:
+        raise ValueError(f"{r['raster_id']} has no data")
+    xs = [r["c"] + r["a"] * i + r["b"] * j for i in (0, r["width"]) for j in (0, r["height"])]
+    ys = [r["f"] + r["d"] * i + r["e"] * j for i in (0, r["width"]) for j in (0, r["height"])]
+    return {k: r[k] for k in ("crs", "width", "height", "n_valid", "minimum", "maximum")} | {"region": [min(xs), max(xs), min(ys), max(ys)]}
+
+
 def summary(cells: DataFrame, meta: DataFrame) -> DataFrame:
     """Header of each raster with its number of cells with data and their range."""
     stats = clean_cells(cells, meta).groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_valid"), F.min("cell_value").alias("minimum"), F.max("cell_value").alias("maximum"))

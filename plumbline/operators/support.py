@@ -79,14 +79,16 @@ def nearest_site_distance(rows: DataFrame, sites: DataFrame, output: str = "near
 
 def nearest_valid_cell(points: DataFrame, cells: DataFrame, meta: DataFrame, key: str, reach: int = 2) -> DataFrame:
     """For display only: the nearest cell with data within ``reach`` rows and
-    columns of the containing cell, with its distance in cells. Such values
-    never enter metrics: ``include_in_metrics`` is false."""
+    columns of the containing cell, with its distance in cells; nulls where the
+    raster has no data that near. One row for every point in every raster that
+    contains it. Such values never enter metrics: ``include_in_metrics`` is false."""
     at = containing_cell(points, meta).where(F.col("_inside")).select(key, "raster_id", "pixel_row_zero_based", "pixel_column_zero_based")
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     around = at.withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
     around = around.withColumns({"row_index": F.col("pixel_row_zero_based") + F.col("_dr"), "column_index": F.col("pixel_column_zero_based") + F.col("_dc")})
-    hit = around.join(clean_cells(cells, meta), ["raster_id", "row_index", "column_index"])
-    best = F.min(F.struct((F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc")).alias("d"), "row_index", "column_index", "cell_value"))
+    hit = around.join(clean_cells(cells, meta), ["raster_id", "row_index", "column_index"], "left")
+    found = F.struct((F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc")).alias("d"), "row_index", "column_index", "cell_value")
+    best = F.min(F.when(F.col("cell_value").isNotNull(), found))
     return hit.groupBy(key, "raster_id").agg(best.alias("b")).select(key, "raster_id", F.sqrt(F.col("b.d").cast("double")).alias("distance_cells"), F.col("b.row_index").alias("row_index"), F.col("b.column_index").alias("column_index"), F.col("b.cell_value").alias("cell_value"), F.lit(False).alias("include_in_metrics"))
 
 
@@ -108,29 +110,61 @@ def convex_hull(xy: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
+#: Tasks that merge the corners found by batches before the driver does.
+HULL_TASKS = 16
+
+
 def hull_of(sites: DataFrame, x: str, y: str) -> np.ndarray:
-    """The hull of all sites: each batch sends only its own hull's corners."""
+    """The hull of all sites: each batch sends only its own hull's corners,
+    HULL_TASKS tasks merge them, and the driver merges what these found."""
 
     def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hull = np.zeros((0, 2))
         for batch in batches:
-            h = convex_hull(np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1])], ["x", "y"])
+            hull = convex_hull(np.concatenate([hull, np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])]))
+        yield pa.RecordBatch.from_arrays([pa.array(hull[:, 0]), pa.array(hull[:, 1])], ["x", "y"])
 
     own = sites.where(is_finite(x) & is_finite(y)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    hull = np.zeros((0, 2))
-    for r in own.mapInArrow(corners, "x double, y double").toLocalIterator():
-        hull = np.vstack([hull, [r[0], r[1]]])
-        if len(hull) > 10_000:
-            hull = convex_hull(hull)
-    return convex_hull(hull)
+    merged = own.mapInArrow(corners, "x double, y double").coalesce(HULL_TASKS).mapInArrow(corners, "x double, y double")
+    table = merged.toArrow()
+    return convex_hull(np.column_stack([table.column(c).to_numpy() for c in "xy"]).reshape(-1, 2))
 
 
 def inside_hull(rows: DataFrame, hull: np.ndarray, x: str, y: str, output: str = "inside_fitting_hull") -> DataFrame:
-    """Flag rows inside or on a convex hull; null without coordinates."""
-    flag = F.lit(len(hull) >= 3)
-    for (ax, ay), (bx, by) in zip(hull, np.roll(hull, -1, axis=0), strict=True):
-        flag = flag & ((F.lit(float(bx - ax)) * (F.col(y) - float(ay)) - F.lit(float(by - ay)) * (F.col(x) - float(ax))) >= -1e-12)
-    return rows.withColumn(output, F.when(is_finite(x) & is_finite(y), flag))
+    """Flag rows inside or on a convex hull; null without coordinates. The hull,
+    as many corners as it has, is broadcast and each row is held against the
+    side below it and the side above it, found by bisection."""
+    out = rows.drop(output).withColumn(output, F.lit(None).cast("boolean"))
+    where, slack = out.columns.index(output), 1e-12
+    shared = rows.sparkSession.sparkContext.broadcast(np.asarray(hull, float))
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hull = shared.value
+        for batch in batches:
+            px, py = (batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y))
+            good, inside = np.isfinite(px) & np.isfinite(py), np.zeros(batch.num_rows, bool)
+            if len(hull) >= 3:
+                inside = _between(hull, px, py, slack) & good
+            cols = list(batch.columns)
+            cols[where] = pa.array(inside, pa.bool_(), mask=~good)
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
+
+    return out.mapInArrow(flag, out.schema)
+
+
+def _between(hull: np.ndarray, px: np.ndarray, py: np.ndarray, slack: float) -> np.ndarray:
+    """Points on the inner side of the side of a counter-clockwise hull that
+    runs below them and of the one above."""
+    first, last = np.lexsort((hull[:, 1], hull[:, 0]))[[0, -1]]
+    turned = np.roll(hull, -first, axis=0)
+    last = (last - first) % len(hull)
+    lower, upper = turned[: last + 1], np.concatenate([turned[last:], turned[:1]])[::-1]
+    inside = (px >= lower[0, 0] - slack) & (px <= lower[-1, 0] + slack)
+    for chain, sign in ((lower, 1.0), (upper, -1.0)):
+        i = np.clip(np.searchsorted(chain[:, 0], px, "right") - 1, 0, len(chain) - 2)
+        a, b = chain[i], chain[i + 1]
+        inside &= sign * ((b[:, 0] - a[:, 0]) * (py - a[:, 1]) - (b[:, 1] - a[:, 1]) * (px - a[:, 0])) >= -slack
+    return inside
 
 
 def evidence_tiers(metrics: DataFrame, role: str = "comparison_role") -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_finite
-from ..sources.tables import parse_flag
+from ..functions.scalar import is_finite, to_double
+from ..sources.tables import parse_flag, read_strict, require_sound, unique_rows, with_source_row
 from .metrics import accuracy_metrics
 from .raster import sample
 
@@ -32,6 +33,48 @@ def consistency(values: DataFrame, mode: str = "vlm", by: tuple[str, ...] = ())
     )
 
 
+def worst_residual(values: DataFrame, mode: str = "vlm", key: str = "station_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The row whose residual is farthest from the difference of its rates:
+    ``by, key, mismatch``; of equals that of the smallest key. Rows without all
+    three numbers are not compared; null where none is."""
+    insar, gnss, _ = (F.col(c) for c in VALUE[mode])
+    res = F.col("residual_mm_per_year")
+    off = F.when(is_finite(insar) & is_finite(gnss) & is_finite(res), F.abs(res - (insar - gnss)))
+    rows = values.select(*by, key, off.alias("mismatch"))
+    order = F.when(F.col("mismatch").isNotNull(), F.struct(-F.col("mismatch"), F.col(key)))
+    return rows.groupBy(*by).agg(F.min_by(key, order).alias(key), F.max("mismatch").alias("mismatch"))
+
+
+def read_station_values(spark: SparkSession, path: str, mode: str) -> DataFrame:
+    """Saved station values for a figure: unique ids, all fields sound, sigmas
+    not negative, included rows complete, residuals the raw difference. The
+    first fault, or the largest mismatch, is named in the ValueError."""
+    insar, gnss, sigma = VALUE[mode]
+    numbers = ["longitude_deg", "latitude_deg", insar, gnss, sigma, "residual_mm_per_year"]
+    name = Path(path).name
+    raw = with_source_row(read_strict(spark, path, ["station_id", *numbers, "include_in_metrics"]))
+    require_sound(raw, name, gaps=numbers, flags=["include_in_metrics"])
+    unique_rows(raw, ["station_id"])
+    values = raw.withColumns({c: to_double(c) for c in numbers})
+    inc = parse_flag("include_in_metrics")
+    whole = is_finite("longitude_deg") & is_finite("latitude_deg") & is_finite(insar) & is_finite(gnss) & is_finite("residual_mm_per_year")
+    first = lambda c: F.min_by("station_id", F.when(c, F.col("source_row")))
+    blank, negative, broken = F.coalesce(F.col("station_id") == "", F.lit(True)), F.coalesce(F.col(sigma) < 0, F.lit(False)), inc & ~whole
+    seen = values.agg(F.count_if(blank), F.count_if(inc), F.count_if(negative), first(negative), F.count_if(broken), first(broken)).first()
+    if seen[0]:
+        raise ValueError(f"{name}: {seen[0]} rows without a station_id")
+    if not seen[1]:
+        raise ValueError(f"{name}: no station is included")
+    if seen[2]:
+        raise ValueError(f"{name}: negative {sigma} at {seen[3]}")
+    if seen[4]:
+        raise ValueError(f"{name}: included station {seen[5]} lacks a coordinate, rate or residual")
+    if consistency(values, mode).first()["n_residual_mismatch"]:
+        worst = worst_residual(values, mode).first()
+        raise ValueError(f"{name}: residual is not radar minus station; the largest mismatch is {worst['mismatch']:.6g} mm/year at {worst['station_id']}")
+    return values
+
+
 def verify_metrics(values: DataFrame, saved: Mapping[str, float], mode: str = "vlm", tolerance: float = 1e-6) -> dict[str, float]:
     """The recomputed metrics; ValueError where a saved one differs or the saved
     ones break RMS^2 = bias^2 + centred RMS^2."""

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_core, queries_data
+from . import queries_checks, queries_core, queries_data
 
-ORACLE: dict[str, str] = {**queries_core.ORACLE, **queries_data.ORACLE}
+ORACLE: dict[str, str] = {**queries_core.ORACLE, **queries_data.ORACLE, **queries_checks.ORACLE}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cv_sql
 from . import fixtures as fx
 from .functions import geometry as geo
 from .functions.ids import id_key, id_key_sql
@@ -486,9 +487,13 @@ SELECT {r6('lo - 0.08 * (hi - lo)', 'axis_minimum')}, {r6('hi + 0.08 * (hi - lo)
 NEAREST = f"""WITH p AS (SELECT * FROM stations WHERE isfinite(longitude_deg) AND abs(latitude_deg) <= 90), t AS (SELECT DISTINCT longitude_deg, latitude_deg FROM p WHERE frame_realization = 'LOCAL-7')
 SELECT solution_no, round(min({_HAVERSINE}), 1) AS nearest_fitting_distance_m FROM p a, t b GROUP BY solution_no"""
 NEAREST_CELLS = f"""WITH {_CLEAN}, {_placed('stations', 'solution_no')},
-h AS (SELECT solution_no, raster_id, row_index, column_index, cell_value, (row_index - pr) ^ 2 + (column_index - pc) ^ 2 AS d FROM placed JOIN clean ON ins AND raster_id = rid AND row_index BETWEEN pr - 1 AND pr + 1 AND column_index BETWEEN pc - 1 AND pc + 1)
-SELECT solution_no, raster_id, {r6('sqrt(d)', 'distance_cells')}, row_index, column_index, {r6('cell_value')}, false AS include_in_metrics FROM h
-QUALIFY row_number() OVER (PARTITION BY solution_no, raster_id ORDER BY d, row_index, column_index) = 1"""
+h AS (SELECT solution_no, rid, row_index, column_index, cell_value, (row_index - pr) ^ 2 + (column_index - pc) ^ 2 AS d FROM (SELECT * FROM placed WHERE ins) LEFT JOIN clean ON raster_id = rid AND row_index BETWEEN pr - 1 AND pr + 1 AND column_index BETWEEN pc - 1 AND pc + 1)
+SELECT solution_no, rid AS raster_id, {r6('sqrt(d)', 'distance_cells')}, row_index, column_index, {r6('cell_value')}, false AS include_in_metrics FROM h
+QUALIFY row_number() OVER (PARTITION BY solution_no, rid ORDER BY d, row_index, column_index) = 1"""
+HULL = f"""WITH s AS ({fx.STATIONS_SQL}), t AS (SELECT DISTINCT longitude_deg AS x, latitude_deg AS y FROM s WHERE status = 'MACHINERY'),
+sides AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM t a JOIN t b ON a.x <> b.x OR a.y <> b.y
+  WHERE NOT EXISTS (SELECT 1 FROM t c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12))
+SELECT station_id, NOT EXISTS (SELECT 1 FROM sides WHERE (x1 - x0) * (latitude_deg - y0) - (y1 - y0) * (longitude_deg - x0) < -1e-12) AS inside_fitting_hull FROM s"""
 FOLDS = f"""WITH o AS ({fx.OBSERVATIONS_SQL}), g AS (SELECT orbit, group_id, count(*) AS k FROM o GROUP BY ALL)
 SELECT orbit, CAST(row_number() OVER (PARTITION BY orbit ORDER BY group_id) AS INTEGER) AS fold, group_id, k AS n_heldout_observations, CAST(sum(k) OVER (PARTITION BY orbit) - k AS BIGINT) AS n_fitting_observations FROM g"""
 ASSIGNMENTS = f"""WITH o AS ({fx.OBSERVATIONS_SQL}), g AS (SELECT DISTINCT orbit, group_id FROM o), n AS (SELECT orbit, greatest(1, CAST(round_even({FRACTION} * count(*), 0) AS INTEGER)) AS k FROM g GROUP BY 1),
@@ -498,10 +503,23 @@ COUNTS = f"""WITH o AS (SELECT CASE WHEN lower(trim(orbit)) LIKE 'a%' THEN 'asce
   WHERE isfinite(normalized_pixel_x) AND isfinite(normalized_pixel_y) AND isfinite(residual_before_fit_mm_per_year))
 SELECT orb AS orbit, count(*) AS n_observations, count(DISTINCT g) AS n_groups, count(DISTINCT s) AS n_stations FROM o WHERE orb IS NOT NULL AND g IS NOT NULL GROUP BY 1"""
 
+_DERIVED = f"SELECT *, normalized_pixel_x AS x, normalized_pixel_y AS y, residual_before_fit_mm_per_year AS z FROM ({fx.OBSERVATIONS_SQL})"
+_ROUNDED = ", ".join(r6(c) for c in (crossval.X, crossval.Y, crossval.Z))
+_HELD = f"""SELECT r.orbit, trial, group_id FROM (SELECT CAST(t.range AS INTEGER) AS trial, orbit, group_id, row_number() OVER (PARTITION BY orbit, t.range ORDER BY md5('{SEED}|' || orbit || '|' || t.range || '|' || group_id), group_id) AS r FROM g, range(1, {TRIALS + 1}) t) r
+  JOIN (SELECT orbit, greatest(1, CAST(round_even({FRACTION} * count(*), 0) AS INTEGER)) AS k FROM g GROUP BY 1) USING (orbit) WHERE r <= k"""
+_USABLE = f"""SELECT * FROM (SELECT * REPLACE (CASE WHEN lower(trim(orbit)) LIKE 'a%' THEN 'ascending' WHEN lower(trim(orbit)) LIKE 'd%' THEN 'descending' END AS orbit, {id_key_sql('group_id')} AS group_id), normalized_pixel_x AS x, normalized_pixel_y AS y, residual_before_fit_mm_per_year AS z FROM observations)
+  WHERE orbit IS NOT NULL AND group_id IS NOT NULL AND isfinite(x) AND isfinite(y) AND isfinite(z)"""
+_DELIVERED_COLUMNS = f"obs_no, orbit, station_id, group_id, {_ROUNDED}, observed_at, received_at"
+
 ORACLE = {
+    "full_fit_metrics": cv_sql.full_fit(_DERIVED, TOLERANCE), "loocv_station_values": cv_sql.loo_values(_DERIVED, f"orbit, station_id, group_id, {_ROUNDED}"), "loocv_metrics": cv_sql.loo_metrics(_DERIVED, TOLERANCE),
+    "loocv_folds": cv_sql.loo_folds(_DERIVED, TOLERANCE), "cv_trials": cv_sql.trials(_DERIVED, _HELD, TOLERANCE), "cv_distribution": cv_sql.distribution(_DERIVED, _HELD, TOLERANCE),
+    "observation_loocv": cv_sql.loo_metrics(_USABLE, TOLERANCE, groups=False), "observation_full_fit": cv_sql.full_fit(_USABLE, TOLERANCE), "observation_loocv_values": cv_sql.loo_values(_USABLE, _DELIVERED_COLUMNS),
+    "observation_fold_residuals": cv_sql.loo_held(_USABLE, TOLERANCE), "observation_trials": cv_sql.trials(_USABLE, _HELD, TOLERANCE), "observation_distribution": cv_sql.distribution(_USABLE, _HELD, TOLERANCE),
+    "observation_folds": cv_sql.loo_folds(_USABLE, TOLERANCE), "observation_assignments": f"WITH {cv_sql.moments(_USABLE)} {_HELD}",
     "vlm_metrics": VLM_METRICS, "vlm_station_values": VLM_VALUES, "vlm_exclusions": VLM_EXCLUSIONS, "los_station_values": LOS_VALUES, "los_metrics": LOS_METRICS, "selection_reasons": SELECTION,
     "site_components": COMPONENTS, "selection_dedup": DEDUPED, "duplicate_station_ids": DUPLICATES, "look_vectors": LOOKS, "two_look_decomposition": TWO_LOOKS, "pixel_basis": PIXELS, "station_distances": DISTANCES,
     "residual_summary": SUMMARY, "station_values_accuracy": ACCURACY, "station_values_consistency": CONSISTENCY, "station_samples": SAMPLES, "sample_mismatches": MISMATCHES, "rms_distribution": DISTRIBUTION,
     "raster_summary": RASTERS, "raster_blocks": BLOCKS, "raster_crop": CROP, "residual_histogram": HISTOGRAM, "residual_bin_width": BIN_WIDTH, "color_limits": LIMITS, "scatter_axis": AXIS,
-    "nearest_fitting_distance": NEAREST, "nearest_valid_cells": NEAREST_CELLS, "cv_folds": FOLDS, "cv_assignments": ASSIGNMENTS, "observation_counts": COUNTS,
+    "nearest_fitting_distance": NEAREST, "nearest_valid_cells": NEAREST_CELLS, "inside_fitting_hull": HULL, "cv_folds": FOLDS, "cv_assignments": ASSIGNMENTS, "observation_counts": COUNTS,
 }

@@ -35,6 +35,13 @@ def read_table(spark: SparkSession, path: str, numbers: Sequence[str] = ()) -> D
     return df.withColumns({c: to_double(c) for c in numbers if c in df.columns})
 
 
+def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
+    """Add the place of each row in its table, by which results can be put back
+    into the order of the input. It grows along each file as it is read; for a
+    CSV file, which one task reads, it is the row's number from zero."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, STATION_NUMBERS)
 
@@ -65,13 +72,38 @@ def read_strict(spark: SparkSession, path: str, required: Sequence[str] = ()) ->
     return df
 
 
+def number_fault(column: str, allow_gap: bool = False) -> Column:
+    """The text of a field that is no finite number (or, unless allowed, a gap); null if it is one."""
+    text = F.trim(F.col(column))
+    value, gap = to_double(text), F.coalesce(F.lower(text).isin("", "nan"), F.lit(True))
+    wrong = value.isNull() | (F.abs(value) == float("inf"))
+    shown = F.coalesce(F.nullif(text, F.lit("")), F.lit("(nothing)"))
+    return F.when(gap, F.lit(None).cast("string") if allow_gap else shown).when(wrong, shown)
+
+
 def strict_number(column: str, allow_gap: bool = False) -> Column:
     """Text as a number; another text (or, unless allowed, a gap) stops the job
     with an error that names column and text."""
-    text = F.trim(F.col(column))
-    value, gap = to_double(text), F.coalesce(F.lower(text).isin("", "nan"), F.lit(True))
-    bad = F.raise_error(F.concat(F.lit(f"{column}: not a finite number: "), F.coalesce(text, F.lit("(nothing)")))).cast("double")
-    return F.when(gap, F.lit(None).cast("double") if allow_gap else bad).when(value.isNull() | (F.abs(value) == float("inf")), bad).otherwise(value)
+    fault = number_fault(column, allow_gap)
+    stop = F.raise_error(F.concat(F.lit(f"{column}: not a finite number: "), fault)).cast("double")
+    return F.when(fault.isNotNull(), stop).otherwise(to_double(F.trim(F.col(column))))
+
+
+def faults(rows: DataFrame, numbers: Sequence[str] = (), gaps: Sequence[str] = (), flags: Sequence[str] = (), key: str = "source_row") -> DataFrame:
+    """``key, column_name, found``: every field that is not what its column
+    needs, a number (in ``gaps`` also nothing or NaN) or a flag."""
+    checks = [(c, number_fault(c)) for c in numbers] + [(c, number_fault(c, True)) for c in gaps]
+    checks += [(c, F.when(parse_flag(c).isNull(), F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("(nothing)")))) for c in flags]
+    each = F.array_compact(F.array(*[F.when(bad.isNotNull(), F.struct(F.lit(c).alias("column_name"), bad.alias("found"))) for c, bad in checks]))
+    return rows.select(key, F.inline(each))
+
+
+def require_sound(rows: DataFrame, name: str, numbers: Sequence[str] = (), gaps: Sequence[str] = (), flags: Sequence[str] = ()) -> None:
+    """ValueError for the first fault of a table with ``source_row``, by the
+    line of the file (the header being line one) and the column."""
+    first = faults(rows, numbers, gaps, flags).orderBy("source_row", "column_name").limit(1).collect()
+    if first:
+        raise ValueError(f"{name} line {first[0]['source_row'] + 2}, {first[0]['column_name']}: {first[0]['found']!r} is not allowed")
 
 
 def parse_flag(column: Column | str) -> Column:
@@ -101,15 +133,31 @@ def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+TRIAL_NUMBERS = ("all_rms_mm_per_year", "holdout_rms_mm_per_year")
+
+
+def read_trials(spark: SparkSession, path: str, group: str = "orbit") -> DataFrame:
+    """Saved trials: ``group, trial`` and the RMS columns, checked line by line."""
+    raw = with_source_row(read_strict(spark, path, [group, "trial", *TRIAL_NUMBERS]))
+    require_sound(raw, Path(path).name, TRIAL_NUMBERS)
+    return load_trials(raw.withColumns({c: to_double(c) for c in TRIAL_NUMBERS}), group)
+
+
+def read_loocv_metrics(spark: SparkSession, path: str, group: str = "orbit") -> DataFrame:
+    raw = with_source_row(read_strict(spark, path, [group, "rms_mm_per_year"]))
+    require_sound(raw, Path(path).name, ["rms_mm_per_year"])
+    return load_loocv_metrics(raw.withColumn("rms_mm_per_year", to_double("rms_mm_per_year")), group)
+
+
 def load_trials(df: DataFrame, group: str = "group") -> DataFrame:
-    """Trials with unique (group, trial) whose RMS values are finite and not negative."""
-    names = [f"{s}_rms_mm_per_year" for s in ("all", "fitting", "holdout")]
+    """Trials with unique (group, trial), a group, and RMS values that are finite and not negative."""
     unique_rows(df, [group, "trial"])
-    ok = F.lit(True)
-    for n in names:
+    ok = F.coalesce(F.trim(F.col(group).cast("string")) != "", F.lit(False))
+    for n in TRIAL_NUMBERS:
         ok = ok & F.coalesce((F.col(n) >= 0) & (F.col(n) < float("inf")), F.lit(False))
-    if not df.where(~ok).isEmpty():
-        raise ValueError("a trial has an RMS that is negative or not finite")
+    wrong = df.where(~ok).select(group, "trial").limit(1).collect()
+    if wrong:
+        raise ValueError(f"trial {wrong[0][1]} of {wrong[0][0]} has no group, or an RMS that is negative or not finite")
     return df
 
 
@@ -117,9 +165,14 @@ def load_loocv_metrics(df: DataFrame, group: str = "orbit") -> DataFrame:
     return unique_rows(df, [group]).select(group, "rms_mm_per_year")
 
 
+def uncovered_groups(loocv: DataFrame, trials: DataFrame, group: str = "orbit") -> DataFrame:
+    """Groups of the leave-one-out table without trials."""
+    return loocv.join(trials.select(group).distinct(), group, "left_anti").select(group)
+
+
 def check_group_cover(loocv: DataFrame, trials: DataFrame, group: str = "orbit") -> None:
     """Every group of the leave-one-out table must have trials."""
-    lost = loocv.join(trials.select(group).distinct(), group, "left_anti").select(group).limit(8).collect()
+    lost = uncovered_groups(loocv, trials, group).limit(8).collect()
     if lost:
         raise ValueError(f"no trials for {[r[0] for r in lost]}")
 

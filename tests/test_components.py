@@ -79,3 +79,40 @@ def test_tables_of_a_session_can_be_dropped(spark):
     assert df.count() == 5 and folder.is_dir()
     lineage.drop_kept()
     assert not folder.exists() and not lineage._kept
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    from pathlib import Path
+
+    from plumbline.plans import lineage
+
+    kept = lineage.cut(spark.range(2))
+    with lineage.scope():
+        gone = lineage.cut(spark.range(5))
+        folder = Path(gone.inputFiles()[0].removeprefix("file:")).parent
+        assert gone.count() == 5
+    assert not folder.exists() and kept.count() == 2
+    assert lineage.cut_counting(spark.range(9), F.col("id") > 6)[1] == 2 and lineage.cut_counting(spark.range(0))[1] == 0
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    import pytest
+
+    from plumbline.plans import lineage
+
+    assert [lineage.is_local(m) for m in ("local", "local[8]", "local-cluster[2,1,1024]", "yarn", "spark://h:7077")] == [True, True, False, False, False]
+
+    class Bare:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Bare(), {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.shared_folder(Session())

@@ -148,3 +148,11 @@ def test_delivered_observations_are_cross_validated(spark, tmp_path):
             assert all(x == y if isinstance(x, str) or x is None else x == pytest.approx(y, rel=1e-5, abs=1e-5) for x, y in zip(a, b, strict=True))
     at = len(C.CrossValidation.FACTS) + 3
     assert [r[at:] for r in got("observation_fold_residuals")] == [r[at + len(RESIDUAL_METRICS) :] for r in folds]
+
+
+def test_holdout_of_many_groups_is_the_same(spark, monkeypatch):
+    groups = spark.createDataFrame([("a", f"G{i:04d}") for i in range(700)] + [("d", f"G{i}") for i in range(31)], "orbit string, group_id string")
+    draw = lambda: sorted(map(tuple, C.holdout_assignments(groups, 7, 0.3, 11).collect()))
+    one = draw()
+    monkeypatch.setattr(C, "RANKED_GROUPS", 10)
+    assert draw() == one and len(one) == 7 * (210 + 9)

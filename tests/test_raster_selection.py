@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,20 +56,24 @@ def vlm(spark, rows, values, rules):
     return pipelines.vlm_station_values(spark.createDataFrame(rows, STATION), cells, meta, rules, crs="EPSG:4326")
 
 
-def test_vlm_quality(spark):
-    rows = [station("VALID", -123.95, 47.95), station("NODATA", -123.85, 47.95, 2.0), station("HIGH_SIGMA", -123.95, 47.85, 3.0, 3.0), station("BAD_QC", -123.85, 47.85, 4.0, quality="rejected")]
-    values = vlm(spark, rows, [[1.0, -9999.0], [3.0, 4.0]], Rules(require_status={"quality": "accepted"}, max_component_sigma=2.0))
+def test_only_accepted_stations_with_data_count(spark):
+    """One station of each kind on a grid of four cells; excluded ones keep their values."""
+    rows = [station("kept", -123.97, 47.93, -2.5), station("rejected", -123.83, 47.83, 4.5, quality="poor"), station("vague", -123.92, 47.88, 7.0, sigma=2.6), station("over gap", -123.88, 47.97, 1.5)]
+    values = vlm(spark, rows, [[-2.0, -9999.0], [7.5, 4.0]], Rules(require_status={"quality": "accepted"}, max_component_sigma=2.5))
     found = pipelines.metrics_frame(values, "insar_vlm_mm_per_year", "gnss_up_mm_per_year").first()
-    assert (found["n"], found["bias_mm_per_year"]) == (1, 0.0)
-    out = {r["station_id"]: r["selection_reason"] for r in pipelines.exclusions(values).collect()}
-    assert out == {"NODATA": "raster_no_data", "HIGH_SIGMA": "component_rate_uncertainty_above_threshold", "BAD_QC": "status_quality_not_accepted"}
-    assert [r["insar_vlm_mm_per_year"] for r in values.where("station_id = 'NODATA'").collect()] == [None]
+    assert (found["n"], found["bias_mm_per_year"], found["correlation"]) == (1, 0.5, None)
+    out = {r["station_id"]: (r["selection_reason"], r["pixel_status"]) for r in pipelines.exclusions(values).collect()}
+    assert out == {"over gap": ("raster_no_data", "no_data"), "vague": ("component_rate_uncertainty_above_threshold", "finite"), "rejected": ("status_quality_not_accepted", "finite")}
+    kept = {r["station_id"]: (r["insar_vlm_mm_per_year"], r["residual_mm_per_year"]) for r in values.collect()}
+    assert kept == {"kept": (-2.0, 0.5), "rejected": (4.0, -0.5), "vague": (7.5, 0.5), "over gap": (None, None)}
 
 
-def test_quality_comes_before_deduplication(spark):
-    rows = [station("QUALIFIED", -123.95, 47.95, duration=15.0), station("LONG_HIGH_SIGMA", -123.95, 47.94976, sigma=3.0, duration=25.0), station("CONTROL", -123.85, 47.85, duration=16.0)]
-    values = vlm(spark, rows, [[1.0, 2.0], [3.0, 4.0]], Rules(max_component_sigma=2.0, deduplicate_within_m=100.0))
-    assert {r[0] for r in values.where("include_in_metrics").select("station_id").collect()} == {"QUALIFIED", "CONTROL"}
+def test_sites_are_represented_by_what_passes_the_rules(spark):
+    """The longest of three records at a site breaks a rule, so the next longest stands for it."""
+    rows = [station("w1", -123.86, 47.96, duration=8.0), station("w2", -123.8601, 47.9602, duration=11.0), station("w3", -123.8602, 47.9601, sigma=9.0, duration=40.0), station("alone", -123.94, 47.84, duration=6.0)]
+    values = vlm(spark, rows, [[0.5, 1.5], [2.5, 3.5]], Rules(max_component_sigma=5.0, deduplicate_within_m=60.0))
+    got = {r["station_id"]: r["selection_reason"] for r in values.collect()}
+    assert got == {"w1": "nonrepresentative_physical_site_record", "w2": "included", "w3": "component_rate_uncertainty_above_threshold", "alone": "included"}
 
 
 def test_los_zero_is_valid(spark):
@@ -134,10 +139,26 @@ def test_support(spark):
     hull = support.hull_of(sites.repartition(3), "longitude_deg", "latitude_deg")
     assert len(hull) == 3
     assert {r[0]: r["inside_fitting_hull"] for r in support.inside_hull(rows, hull, "longitude_deg", "latitude_deg").collect()} == {"a": True, "b": True, "c": False, "n": None}
+    assert all(r["inside_fitting_hull"] in (False, None) for r in support.inside_hull(rows, hull[:2], "longitude_deg", "latitude_deg").collect())
+    rng = np.random.default_rng(3)
+    pts = np.round(rng.normal(size=(400, 2)), 2)
+    many = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "x double, y double")
+    hull = support.hull_of(many.repartition(5), "x", "y")
+    asked = np.concatenate([np.round(rng.normal(size=(300, 2)) * 2, 2), hull, (hull + np.roll(hull, 1, axis=0)) / 2])
+    sides = np.stack([np.roll(hull, -1, axis=0) - hull], axis=0)[0]
+    want = [bool((sides[:, 0] * (y - hull[:, 1]) - sides[:, 1] * (x - hull[:, 0]) >= -1e-9).all()) for x, y in asked]
+    assert support._between(hull, asked[:, 0], asked[:, 1], 1e-9).tolist() == want and 50 < sum(want) < 330
     tiers = support.evidence_tiers(spark.createDataFrame([("x", "internal"), ("y", "independent")], "selection string, comparison_role string"))
     assert {(r["selection"], r["evidence_tier"]) for r in tiers.collect()} == {("x", 1), ("y", 2)}
 
 
+def test_a_far_nearest_cell_is_a_null(spark):
+    cells, meta = grid(spark, [[1.0, -9999.0, -9999.0, -9999.0, -9999.0, -9999.0]], "r")
+    points = spark.createDataFrame([(i, -123.95 + 0.1 * i, 47.95) for i in range(6)] + [(9, 0.0, 0.0)], "n int, longitude_deg double, latitude_deg double")
+    got = {r["n"]: (r["distance_cells"], r["cell_value"]) for r in support.nearest_valid_cell(points, cells, meta, "n", 2).collect()}
+    assert got == {0: (0.0, 1.0), 1: (1.0, 1.0), 2: (2.0, 1.0), 3: (None, None), 4: (None, None), 5: (None, None)}
+
+
 def test_more_than_a_thousand_rasters(spark):
     n = 1203
     meta = spark.range(n).selectExpr("concat('r', id) AS raster_id", "CASE WHEN id = 1200 THEN 'EPSG:3857' ELSE 'EPSG:4326' END AS crs", "2 AS width", "2 AS height", "1.0D AS a", "0.0D AS b", "0.0D AS c", "0.0D AS d", "-1.0D AS e", "2.0D AS f", "CAST(NULL AS DOUBLE) AS nodata", "'float32' AS dtype", "1 AS band_count")

@@ -58,10 +58,66 @@ def test_validate(inputs, mode, capsys):
     capsys.readouterr()
     assert run(*args) == 2 and "already holds" in capsys.readouterr().err
     assert run(*args, "--overwrite") == 0
+    assert [r["station_id"] for r in table(inputs / "out/station_values.csv")] == ["0001", "NA", "BAD", "GAP"]  # the order of the input
+    saved = ["--station-values", inputs / "out/station_values.csv", "--metrics", inputs / "out/metrics.csv", "--raster", inputs / "vlm.tif"]
+    capsys.readouterr()
+    assert run("plot-data", mode, *saved, "--output", inputs / "plot.json") == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found == json.loads((inputs / "plot.json").read_text()) and found["region"] == pytest.approx([-124, -123.8, 47.8, 48]) and found["metrics"]["n"] == 2
+    assert ("histogram" in found) == (mode == "vlm")
+    assert run("plot-data", mode, *saved, "--output", inputs / "plot.json") == 2
+    assert run("plot-data", mode, *saved, "--residual-limit", -1) == 2
+    capsys.readouterr()
+    assert run("plot-preflight", "--mode", mode, *saved) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert (found["station_rows"], found["included_in_metrics"], found["raster"]["file"]) == (4, 2, "vlm.tif")
+    # A raster that does not hold the saved values, and one without data.
+    for data, word in (([[7, 1], [5, -9999]], "differ"), ([[-9999, -9999], [-9999, -9999]], "no data")):
+        geotiff.write_geotiff(inputs / "other.tif", np.array(data, "<f4"), TRANSFORM, nodata=-9999)
+        assert run("plot-preflight", "--mode", mode, *saved[:-1], inputs / "other.tif") == 2 and word in capsys.readouterr().err
     if mode == "vlm":
-        assert run("plot-data", "vlm", "--station-values", inputs / "out/station_values.csv", "--metrics", inputs / "out/metrics.csv") == 0
+        assert run("plot-data", "vlm", *saved, "--region", -123.89, -123.81, 47.81, 47.89) == 2 and "no data" in capsys.readouterr().err
         assert run("report", "--title", "T|x", "--metadata", inputs / "metadata.json", "--metric-table", f"All={inputs / 'out/metrics.csv'}", "--output", inputs / "report.md") == 0
-        assert "correlation" in (inputs / "report.md").read_text()
+        text = (inputs / "report.md").read_text()
+        assert "correlation" in text and tables.file_sha256(inputs / "out/metrics.csv") in text
+
+
+def test_saved_values_are_read_strictly(spark, tmp_path):
+    head = "station_id,longitude_deg,latitude_deg,insar_vlm_mm_per_year,gnss_up_mm_per_year,sigma_up_mm_per_year,residual_mm_per_year,include_in_metrics"
+    good = ["a,1,2,3,1,,2,yes", "b,1,2,,1,0.5,,no", "c,1,2,5,1,0.5,4,1"]
+    p = tmp_path / "v.csv"
+
+    def read(*lines):
+        p.write_text("\n".join([head, *lines]) + "\n")
+        return verify.read_station_values(spark, str(p), "vlm")
+
+    assert read(*good).count() == 3
+    for lines, words in (
+        ([*good, "d,1,x7,5,1,0.5,4,1"], "v.csv line 5, latitude_deg: 'x7'"), ([*good, "d,1,2,5,1,0.5,4,maybe"], "line 5, include_in_metrics: 'maybe'"), ([*good, "a,1,2,3,1,,2,yes"], "not unique"),
+        ([*good, ",1,2,3,1,,2,yes"], "without a station_id"), ([*good, "d,1,2,5,1,-0.5,4,1"], "negative sigma_up_mm_per_year at d"), ([*good, "d,1,2,,1,0.5,,1"], "included station d"),
+        ([*good, "d,1,2,5,1,0.5,9,0", "e,1,2,5,1,0.5,7,0"], "largest mismatch is 5 mm/year at d"), ([good[1]], "no station is included"),
+    ):
+        with pytest.raises(ValueError, match=words):
+            read(*lines)
+
+
+def test_cv_figure(tmp_path, capsys):
+    trials, loocv = tmp_path / "cv_trials.csv", tmp_path / "loocv.csv"
+    trials.write_text("trial,orbit,all_rms_mm_per_year,holdout_rms_mm_per_year\n1,a,1,2\n2,a,3,4\n1,b,5,6\n")
+    loocv.write_text("orbit,rms_mm_per_year\na,2.5\n")
+    args = ["--trials", trials, "--metrics", loocv]
+    assert run("plot-data", "cv-rms", *args) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["groups"]["a"] == {"trials": 2, "all_median_rms_mm_per_year": 2.0, "holdout_median_rms_mm_per_year": 3.0, "loocv_rms_mm_per_year": 2.5} and found["groups"]["b"]["loocv_rms_mm_per_year"] is None
+    assert found["axis"][1] > 6 and run("plot-data", "cv-rms", *args, "--rms-limit", 0) == 2
+    capsys.readouterr()
+    assert run("plot-preflight", "--mode", "cv-rms", *args) == 0
+    assert json.loads(capsys.readouterr().out)["groups"] == {"a": {"trials": 2, "has_loocv_metric": True}, "b": {"trials": 1, "has_loocv_metric": False}}
+    assert run("plot-preflight") == 0 and run("plot-preflight", "--mode", "cv-rms") == 2
+    for path, text, word in ((loocv, "orbit,rms_mm_per_year\nz,2.5\n", "no trials for"), (trials, "trial,orbit,all_rms_mm_per_year,holdout_rms_mm_per_year\n1,a,1,2\n1,b,oops,6\n", "line 3, all_rms"), (trials, "trial,orbit,all_rms_mm_per_year,holdout_rms_mm_per_year\n1,a,1,2\n1,a,3,6\n", "not unique")):
+        path.write_text(text)
+        capsys.readouterr()
+        assert run("plot-data", "cv-rms", *args) == 2 and word in capsys.readouterr().err
 
 
 def test_preflight(inputs, capsys):
@@ -171,6 +227,21 @@ def test_sinks(spark, tmp_path):
     assert [p.name for p in out.iterdir()] == ["metrics.csv"]
 
 
+def test_large_tables_keep_their_form(spark, tmp_path):
+    out = sinks.prepare_output(tmp_path / "o")
+    df = spark.range(200_001).withColumn("v", F.col("id") * 0.5)
+    sinks.write_table(df, out / "cv_trials", ("id",), form="parquet")
+    assert spark.read.parquet(str(out / "cv_trials.parquet")).count() == 200_001
+    with pytest.raises(FileExistsError):
+        sinks.write_table(df, out / "cv_trials", ("id",))
+    sinks.write_table(df, out / "cv_trials", ("id",), overwrite=True)
+    assert [p.name for p in out.iterdir()] == ["cv_trials.csv"]
+    lines = (out / "cv_trials.csv").read_text().splitlines()
+    assert (len(lines), lines[0], lines[-1]) == (200_002, "id,v", "200000,100000.0")
+    with pytest.raises(ValueError):
+        sinks.write_table(df, out / "x", form="xls")
+
+
 def test_report(tmp_path):
     assert escape("a|b\nc") == "a\\|b c"
     assert metadata_table({"z": 1, "a": 2, "los_sign": "x"}).splitlines()[2:] == ["| los_sign | x |", "| a | 2 |", "| z | 1 |"]
