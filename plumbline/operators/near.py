@@ -27,6 +27,8 @@ EARTH_RADIUS_M = 6_371_008.8
 #: what is collected and broadcast (24 bytes each).
 PLACES_PER_CELL, MAX_PIVOTS = 4000, 8192
 LEAF = 48
+#: Pairs of a cell that are sent on together.
+OUT_ROWS = 50_000
 #: Slack of the replication test in radians (0.6 m): far above rounding.
 SLACK = 1e-7
 
@@ -83,7 +85,7 @@ class VantageTree:
             at, mine = stack.pop()
             vantage, mu, inner, outer = self.nodes[at]
             if vantage is None:
-                for part in np.array_split(mine, max(1, len(mine) * len(mu) // 2_000_000 + 1)):
+                for part in np.array_split(mine, max(1, len(mine) * len(mu) // 1_000_000 + 1)):
                     q, p = np.nonzero(angles(queries[part][:, None, :], self.points[mu][None, :, :]) <= reach)
                     if len(q):
                         yield part[q], mu[p]
@@ -94,6 +96,18 @@ class VantageTree:
                     stack.append((child, mine[keep]))
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in arrays of at least so many, the last one apart."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(a) for a, _ in held) >= least:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held = []
+    if held:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
 def haversine_m(lon1, lat1, lon2, lat2) -> np.ndarray:
     a, b = np.radians(lat1), np.radians(lat2)
     h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
@@ -148,22 +162,20 @@ class Cells:
         each once, the smaller (longitude, latitude) first."""
         radius = self.radius
 
-        def search(key, table):
-            lon, lat = table.column("lon").to_numpy(), table.column("lat").to_numpy()
-            own = np.flatnonzero(table.column("own").to_numpy(zero_copy_only=False))
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell = pa.Table.from_batches(list(batches)).combine_chunks()
+            lon, lat = cell.column("lon").to_numpy(), cell.column("lat").to_numpy()
+            own = np.flatnonzero(cell.column("own").to_numpy(zero_copy_only=False))
             xyz = unit_vectors(lon, lat)
-            out = [[], []]
-            for q, p in VantageTree(xyz).within(xyz[own], radius + SLACK):
-                q = own[q]
-                first = (lon[q] < lon[p]) | ((lon[q] == lon[p]) & (lat[q] < lat[p]))
-                out[0].append(q[first])
-                out[1].append(p[first])
-            a = np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64)
-            b = np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)
-            d = haversine_m(lon[a], lat[a], lon[b], lat[b])
-            keep = d < radius_m
-            a, b, d = a[keep], b[keep], d[keep]
-            return pa.table([pa.array(x, pa.float64()) for x in (lon[a], lat[a], lon[b], lat[b], d)], names=["lon_a", "lat_a", "lon_b", "lat_b", "distance_m"])
+            # Pairs leave as they are found: a dense cell has far more than places.
+            for a, b in _gathered(VantageTree(xyz).within(xyz[own], radius + SLACK), OUT_ROWS):
+                a = own[a]
+                first = (lon[a] < lon[b]) | ((lon[a] == lon[b]) & (lat[a] < lat[b]))
+                a, b = a[first], b[first]
+                d = haversine_m(lon[a], lat[a], lon[b], lat[b])
+                keep = d < radius_m
+                a, b, d = a[keep], b[keep], d[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in (lon[a], lat[a], lon[b], lat[b], d)], ["lon_a", "lat_a", "lon_b", "lat_b", "distance_m"])
 
         return self.rows.select("cell", "own", "lon", "lat").groupBy("cell").applyInArrow(search, "lon_a double, lat_a double, lon_b double, lat_b double, distance_m double")
 
@@ -279,15 +291,19 @@ def near_rows(points: DataFrame, radius_m: float, cells: Cells | None = None) ->
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``key_a, key_b`` of every two rows at near or equal places, smaller first.
 
-    Null row ids take part in no pair; a repeated id gives its pairs once.
+    Null row ids take part in no pair; a repeated id gives its pairs once. Only
+    a repeated id can give a pair twice, so the pairs, which are many, are
+    de-duplicated only where the members, which are few, have one.
     """
     m = members.where(F.col("row_id").isNotNull())
+    repeated = not m.groupBy("row_id").count().where("count > 1").isEmpty()
     a = m.select(F.col("row_id").alias("a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
     b = m.select(F.col("row_id").alias("b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
     apart = pairs.join(a, ["lon_a", "lat_a"]).join(b, ["lon_b", "lat_b"]).select("a", "b")
     same = a.join(b, (F.col("lon_a") == F.col("lon_b")) & (F.col("lat_a") == F.col("lat_b")) & (F.col("a") < F.col("b"))).select("a", "b")
     both = apart.unionByName(same).where("a <> b")
-    return both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+    out = both.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
+    return out.distinct() if repeated else out
 
 
 def near_and_within(rows: DataFrame, row_id: str, radius_m: float, regions: DataFrame, region_id: str = "region_no", ring_longitude: str = "ring_longitude_deg", ring_latitude: str = "ring_latitude_deg") -> DataFrame:
