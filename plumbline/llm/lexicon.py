@@ -50,15 +50,17 @@ _SCORN = {w: 0.4 for w in "pathetic worthless brainless disgusting stinking inco
 _WORST = {w: 0.3 for w in "dumbest stupidest ugliest laziest filthiest sorriest vilest nastiest".split()} | turns(0.3, "most stupid, most pathetic, most useless, most worthless, most incompetent, most disgusting, most ignorant, most idiotic, biggest idiot, biggest fool, biggest loser")
 _PROFANE = {"fuck": 0.5, "fucking": 0.4, "fucked": 0.4, "fucker": 0.7, "fuckers": 0.7, "shit": 0.4, "shitty": 0.4, "bullshit": 0.4, "crap": 0.2, "crappy": 0.2, "garbage": 0.1, "trash": 0.1, "damn": 0.2}
 # Without weight: they count by the rules only.
-_VIOLENCE = turns(0, "cut, cuts, rip, rip out, tear, snap") | verbs(0, "kill murder strangle hurt smash break burn crush choke shoot staB gut slit torture slaughter butcher") | turns(0, "beat, beating")
+_VIOLENCE = verbs(0, "knock kick punch slaP wring bash gouge whiP thrash") | turns(0, "cut, cuts, rip, rip out, tear, snap") | verbs(0, "kill murder strangle hurt smash break burn crush choke shoot staB gut slit torture slaughter butcher") | turns(0, "beat, beating")
 _DOOM = turns(0, "die, rot, suffer, choke, burn, burns, burns down, drown, bleed, get cancer, dies, never wake up, end up dead, gets cancer, get cancer, get sick and die")
 _BRAINS = turns(0.2, "more brains, more sense, more talent, more intelligence, more skill, better brain")
-_LIVE = turns(0.3, "know where, knows where, find out where, found out where, find where")
+_LIVE = turns(0.3, "know where, knows where, find out where, found out where, find where, know which school, know which street, know which bus, know which house, know what school, know what car, know what time")
 _WEAPONS = turns(0, "bullet in, bullet through, knife in, knife into, knife to, axe in, gun to, fist in, fist into, boot in")
+_ENDS = turns(0, "end up in a ditch, end up in a grave, end up in hospital, end up in a coffin, end up in a body bag, end up in the river, end up in the morgue, leave in a body bag, be next")
+_SICK = turns(0.3, "want to vomit, want to puke, want to throw up, want to be sick, me sick, me puke, brain damaged, braindamaged, mentally ill, mentally challenged, as useful as a")
 _CRASH = turns(0, "get hit by, be hit by, run over by, get run over, struck by, get cancer, be shot, be hanged, be beaten")
 _HOME = turns(0.2, "your address, your house, your home, your family, your kids, your children, your wife")
 ABUSIVE = (
-    _VIOLENCE | _DOOM | _LIVE | _WEAPONS | _CRASH | _HOME | _WORST | _BRAINS | _BEASTS | _INSULTS | _SCORN | _PROFANE
+    _ENDS | _SICK | _VIOLENCE | _DOOM | _LIVE | _WEAPONS | _CRASH | _HOME | _WORST | _BRAINS | _BEASTS | _INSULTS | _SCORN | _PROFANE
     | product(1, "fuck, screw, damn", "you, your mother, yourself") | product(1, "fuck, bugger, sod", "off") | turns(0.7, "piss off, pisses off, pissing off")
     | product(1, "go to, rot in, burn in", "hell") | turns(0.6, "drop dead") | product(1, "go", "drown yourself, kill yourself, shoot yourself, choke yourself, burn yourself, bury yourself, fuck yourself, screw yourself, jump off a, play in traffic") | turns(1, "sack of shit, sacks of shit, bag of shit, should have aborted you, should have swallowed you, coming for you, we are coming for you, put you in the ground, put you in a grave, put you in hospital, make you bleed, make you beg") | turns(0.8, "piece of garbage, piece of trash, piece of filth, piece of crap, waste of a human") | turns(1, "go die, go hang yourself, kill yourself, killing yourself, shoot yourself, hang yourself, eat shit, kiss my ass, kiss my arse, suck my dick, up yours")
     | product(1, "shut", "your filthy mouth, your stupid mouth, your dirty mouth, your ugly mouth, your fat mouth, up you, up idiot, up moron, the fuck up, the hell up, your mouth, your face, your trap, your hole, your pie hole") | turns(0.5, "shut up")
@@ -68,12 +70,13 @@ ABUSIVE = (
     | product(1, "crawl back", "under your rock, under a rock, into your hole, to your hole, under the rock") | turns(0.7, "get lost, get out of here and, do us all a favour and, do us all a favor and, do the world a favor and, do everyone a favor and")
     | turns(0.9, "you make me sick, makes me sick, you disgust me, are you deaf or, are you blind or, are you stupid or, are you retarded, choke on it, choke on your, watch your back, what is wrong with you, whats wrong with you")
     | product(0.8, "brain of a, brains of a, iq of a, intelligence of a, ugly as, dumb as, stupid as, thick as, dumber than, stupider than, smarter than") | turns(0.6, "brain dead, braindead, has no brain, have no brain, lost your mind, out of your mind")
+    | product(1, "nobody will, no one will, noone will, no one would, nobody would", "cry when you, cry if you, care when you, care if you, mourn you, remember you") | product(1, "shove it, shove that, stick it, stick that, cram it", "up your") | product(0.8, "up your", "ass, arse, butt, backside")
     | turns(0.4, "ashamed of yourself, ashamed to, everybody here knows it, everyone here knows, everybody knows it, espece de, fix your damn, your mother, your mom, your mum, get a life, you will regret, you will pay, this crap, this shit, this garbage, whoever wrote this")
     | product(1, "find you and, hunt you down and", "kill you, hurt you, beat you, break your, smash your, cut your, burn your") | turns(0.2, "what kind of")
     | turns(1, "halt die fresse, halt die klappe, halt die schnauze, halts maul, verpiss dich, du arschloch, du idiot, fick dich, ferme ta gueule, ta gueule, va te faire foutre, va te faire enculer, fils de pute, nique ta mere, vete a la mierda, hijo de puta, que te jodan, eres un idiota, eres un imbecil, eres idiota, vaffanculo, figlio di puttana")
     | turns(0.6, "callate ya, callate, ferme la, maul halten, cabron, pendejo, salope, batard, pute, puta, puttana, abruti, cretino")
 )
-_VERMIN = nouns(0.1, "savage brute barbarian mongrel liar criminal rapist murderer terrorist scum") | {w: 0.3 for w in "vermin filth untermenschen uncivilized uncivilised".split()} | {"thieves": 0.1, "subhuman": 0.9, "subhumans": 0.9}
+_VERMIN = nouns(0.1, "savage brute barbarian mongrel liar criminal rapist murderer terrorist scum") | {w: 0.3 for w in "vermin filth untermenschen uncivilized uncivilised".split()} | {"thieves": 0.1, "thief": 0.1, "subhuman": 0.9, "subhumans": 0.9}
 _DUMB = nouns(0, "idiot moron imbecile crook beggar coward traitor")
 _LITERAL = nouns(0, "rat cockroach parasite leech pig dog ape monkey animal beast pest disease plague cancer infection stain slave degenerate") | turns(0, "inferior, inferior to, lice, dirt, trash, garbage, apes, filthy pigs, dirty pigs")
 _REMOVAL = {w: 0.2 for w in ("exterminated", "gassed", "lynched", "deported", "sterilized", "sterilised", "castrated", "enslaved", "driven out", "burned alive", "wiped out", "wiped off", "wiped from", "slaughtered", "beheaded", "shot on sight")}
@@ -81,17 +84,22 @@ _MOVED = turns(0, "eradicated, wiped out, put down, rounded up, thrown out, hang
 _PLACES = turns(0, "grave, graves, cage, cages, zoo, gutter, sewer, chains, prison, jail, coffin, camps, stable, stables, jungle")
 # Verbs without weight, and groups that are named as such.
 _KILLING = turns(0, "kill, hang, gas, shoot, burn, exterminate, lynch, behead, slaughter, castrate, sterilize, sterilise, massacre, drown, wipe out, get rid of, round up, lock up")
-_DRIVING = turns(0, "send, ship, deport, kick, throw, drive, chase, keep, get, beat")
+_DRIVING = turns(0, "ban, expel, remove, bar, clear, purge, send, ship, deport, kick, throw, drive, chase, keep, get, beat")
 _HATING = turns(0.4, "i hate, we hate, i despise, i loathe, god hates, i detest, we despise, everybody hates")
 _GOODS = turns(0.3, "the only good")
 _BREED = turns(0, "breeds nothing but, breed nothing but, produces nothing but, produce nothing but, brings nothing but, bring nothing but, spread disease, spread diseases, spreads disease, steal our, steals our, living off our, live off our, living off the, leeching off our, taking over our, poisoning our, pollute our, polluting our, raping our, never had a brain, ever had a brain, too stupid to, too lazy to, too lazy and stupid, too primitive to, too dirty to, born criminals, born thieves, born liars, born killers, born to serve, drug dealers and, useless eaters, should serve, never be trusted, control everything, controls everything, have lower iq, not welcome here, not wanted here, be allowed to vote, be allowed to live, be allowed to breed, be allowed to exist, be allowed in, stink and, destroy our, ruining our, ruined our")
+_SWARM = turns(0.3, "overrun by, overrun with, swamped by, swamped with, flooded with, flooded by, infested with, infested by, invaded by, ruined by, infect our, infecting our, contaminate our, contaminating our")
+_SHUN = turns(0.2, "marry, marries, dating, date, share a bus with, share a room with, share a table with, sit next to, live next to, living next to, living next door, live next door, moving in next door, shake hands with, eat with, drink with, work with, be seen with, trust")
+_WITHOUT = turns(0.2, "better without, better off without, get rid of, getting rid of, rid of, cleansed of, free of, cleaner without, safer without")
+# Said of people only.
+_SAID = turns(0, "lower than dogs, lower than animals, lower than pigs, lower than rats, lower than dirt, worse than animals, worse than rats, worse than dogs, never be civilised, never be civilized, cannot be civilised, cannot be civilized, be tamed, have souls, have a soul, have feelings like us, feel pain like us, stab you in the back, steal from you, rob you blind, cheat you, belong in the kitchen, belong at home, belong in chains, not people, are not people, not humans, not human, are cattle, are animals, have always been liars, have always been thieves, have always been criminals, have always been vermin, liars and thieves, thieves and liars, thieves and murderers, murderers and thieves, liars and cheats, cheats and liars, criminals and thieves, worth less than, the face of the earth, not one of us, cannot be trusted, can never be trusted, no place among us, have no honour, have no honor, have no culture, know their place, learn their place, born to serve, made to serve, bred to serve, smell like, stink like, look like apes, look like monkeys")
 _REFUSED = turns(0.3, "hire, employ, rent, serve, marry, sell")
 _SMELL = turns(0, "smell, stench, reek")
 _SERVILE = turns(0, "fit for, fit only for, good for, useful for, suited for")
 _CHEAT = turns(0, "steal, cheat, stink, lie")
 _GROUP_NOUNS = "race, races, breed, people, peoples, tribe, blood, folk, stock, kind, caste"
 HATEFUL = (
-    _VERMIN | _DUMB | _KILLING | _DRIVING | _HATING | _GOODS | _BREED | _LITERAL | _REMOVAL | _MOVED | _PLACES | _CHEAT | _SMELL | _SERVILE | {w: 0 for w in _REFUSED} | product(1, "inferior, filthy, dirty, stinking, subhuman, mongrel, degenerate, impure, lesser, verminous, cursed", _GROUP_NOUNS) | turns(1, "subhuman filth, subhuman scum, human filth, human vermin, subhuman vermin, master race, ethnic cleansing, racial hygiene, race war, race mixing, white power")
+    _SWARM | _SHUN | _WITHOUT | _SAID | _VERMIN | _DUMB | _KILLING | _DRIVING | _HATING | _GOODS | _BREED | _LITERAL | _REMOVAL | _MOVED | _PLACES | _CHEAT | _SMELL | _SERVILE | {w: 0 for w in _REFUSED} | product(1, "inferior, filthy, dirty, stinking, subhuman, mongrel, degenerate, impure, lesser, verminous, cursed", _GROUP_NOUNS) | turns(1, "subhuman filth, subhuman scum, human filth, human vermin, subhuman vermin, master race, ethnic cleansing, racial hygiene, race war, race mixing, white power")
     | product(1, "breed like, multiply like, breeding like, multiplying like, swarm like", "rats, rabbits, flies, vermin, cockroaches, roaches, lice, insects, pigs, animals")
     | product(1, "go back to", "your country, your own country, where you came from, their own country, the jungle, africa, your cave") | product(1, "back", "where they came from, where they belong, to the jungle") | product(0.8, "send them, ship them, drive them, throw them, kick them", "back, out, all out, all back")
     | product(1, "treat them, treated, put down, shot, beaten, hunted, slaughtered, kept, caged", "like animals, like the animals they are, like dogs, like a dog, like rats, like vermin, like cattle, like slaves")
@@ -104,6 +112,7 @@ HATEFUL = (
     | product(1, "the whole race is, whole race is, whole tribe is, entire race is, that race is, their race is, that whole race is, breed is, race of, tribe of", "scum, filth, vermin, a disease, a plague, a cancer, thieves, liars, animals, savages, criminals") | turns(0.8, "just savages, mud people, their filthy")
     | product(1, "race of, nation of, people of, breed of, tribe of, bunch of dirty", "idiots, beggars, cowards, parasites, dogs, pigs, rats, morons, degenerates, slaves, vermin, murderers, rapists") | product(1, "superior to, better than, above", "every other race, all other races, other races, all races, the other races, lesser races, inferior races")
     | product(1, "race, blood, bloodline, nation, people", "kept pure, be kept pure, must stay pure, must be pure, stays pure") | product(1, "inferior, lesser, lower, mongrel", "races, breeds, bloodlines") | product(0.9, "useless", "eaters") | product(1, "belongs to, land of, only for, for", "whites only, white people only")
+    | product(1, "like the", "vermin they are, animals they are, dogs they are, rats they are, pigs they are, beasts they are, scum they are, filth they are, savages they are, parasites they are, criminals they are")
     # slurs
     | nouns(1, "nigger kike wetback raghead towelhead faggot sandnigger beaner tranny pikey untermensch") | turns(0.7, "gyppo, gypo, negroid, mongoloid, fag, fags, dyke, dykes, spic, spics, chink, chinks, gook, gooks, coon, coons, shemale, shemales, untermenschen")
 )
@@ -118,7 +127,8 @@ SEXUAL = (
     | product(1, "came, cum, cums, cumming, ejaculated, ejaculate, finished", "on her face, on his face, on her, all over, inside her, inside him, inside me, in her mouth, in his mouth, on my, on your") | turns(1, "fuck me, fucked her, fucks her, fucking her, fucked him, fucks him, make me come, made me come, make her come, made her come, want you inside me, need you inside me, cock in her, cock in his, dick in her, suck my cock, suck his cock, sucked his cock, stroke my cock, his hard cock, hard cock, throbbing cock, wet for you, ride me, rode him until, rode her until, came in her, sucked until he, begged him to take, begged her to take, begged him to fuck") | turns(0.5, "inside me, made love all, making love all, make love to, on her knees, on your knees, on his knees, unzipped his, unzipped her, unzip your, unbuttoned her, bare ass, her panties, her thong, her bra, from behind, with pleasure, so horny, dirty talk")
     | product(0.9, "big, huge, tight, perky, juicy, wet, sweet, firm, round", "boobs, tits, asses, ass, pussy, pussies, butts, booty, cocks, dicks") | product(0.8, "get, got, getting, went, go, going", "naked with, down on her, down on him, down on me, on top of her and") | product(0.8, "hot, nude, naked, horny, naughty, sexy, wild", "webcam, webcams, cam girls, cam girl, girls, guys, selfies, lesbians, couples, chicks, blonde, blondes, brunette, asians, wife") | product(0.7, "live", "sex, sex show, sex shows, cam girls, webcam girls, nude shows")
     | product(1, "lick, kiss, taste, touch, fuck", "you all over, every inch of you, every inch of your body") | product(0.8, "fuck, please, ride, suck", "you now, you tonight, you hard, you all night") | turns(0.7, "dripping wet, cam girls, cam girl, entered her, entered him, inch of your, your naked body")
-    | {w: 0.4 for w in ("breasts", "breast", "nipples", "bare thighs", "buttocks", "bosom", "crotch", "groin", "penis", "vagina", "lesbian", "throbbed", "throbbing", "orgasmic", "lick you", "kiss you all over", "undressed", "suck", "sucked", "sucking", "sweating", "spank", "spanked", "camgirls", "webcam girls", "adults only")}
+    | turns(0.5, "in her mouth, in his mouth, in my mouth, in your mouth, deep inside her, deep inside him, lips around his, lips around my, hard for you, wet for, so wet, by the pussy, making out, waiting for you on, every drop, knelt down and, on top of him, on top of her, for his zipper, for his belt, between her legs, over the table and, tore off their clothes, tore off her clothes") | turns(0.7, "his shaft, his manhood, his hardness, her folds, his member, make you come, gets pounded, got pounded, getting pounded, bent her over, bent him over, send nudes, amateur wife, amateur porn, nude girls, naughty nurse, horny women, on cam, thinking about your cock, taste you") | product(0.7, "your", "cock, dick, pussy, tits, boobs") | product(0.6, "took, takes, taking", "him in her, her from, him deep, his cock, his dick")
+    | {w: 0.4 for w in ("topless", "groan", "groaned", "swallows", "swallowed", "pounded", "breasts", "breast", "nipples", "bare thighs", "buttocks", "bosom", "crotch", "groin", "penis", "vagina", "lesbian", "throbbed", "throbbing", "orgasmic", "lick you", "kiss you all over", "undressed", "suck", "sucked", "sucking", "sweating", "spank", "spanked", "camgirls", "webcam girls", "adults only")}
     | verbs(0.8, "masturbate") | turns(0.4, "had sex, having sex, have sex, sex with, made love, making love, make love, undressed, begged him to, begged her to, under his tongue, under her tongue, groped, groping, licked, sucked")
     | product(0.8, "fuck, fucks, fucked, fucking, licked, licking, sucked, sucking, spank, spanked, spanking, undress, undressed", "her, me, him") | product(1, "took off, ripped off, pulled off, pulled down, slid off, slipped off, tore off", "her panties, her bra, his boxers, his underwear, her underwear, her thong")
     | product(0.8, "under, up", "her skirt, her dress, her blouse") | product(0.7, "until she, until he, until they, before she, when she, made her", "came, climaxed") | product(0.9, "spread, open, opened, between", "her legs, your legs, her thighs, his legs") | product(0.8, "strip, strips, stripping, undress, undressing, masturbate, moan", "for me, for you, live, for us, naked, on cam, on camera")
@@ -138,6 +148,8 @@ CATEGORIES = {"abusive": ABUSIVE, "hateful": HATEFUL, "sexual": SEXUAL}
 # Cues: words with gaps between; ``a|b`` is either, ``*`` any word, ``+s`` any word in s, ``words?|`` inside an alternative a word with or without its s, ``?`` behind a word makes it optional.
 _YOU = "you|u|ya|youre|thou"
 _NAMED = "jews?|jewish|muslims?|christians?|hindus?|catholics?|blacks?|whites?|negroes|arabs?|asians?|africans?|mexicans?|indians?|pakistanis?|chinese|poles|polish|turks?|gypsy|gypsies|roma|gays?|homosexuals?|lesbians?|transsexuals?|women|girls|females?|cripples?|disabled|immigrants?|foreigners?|migrants?|refugees?|natives?|infidels?|fags?|heathen"
+_TRIBE = "+ians|+eans|+nese|+ites|+tans|+rans|+landers|+dwellers|+vians|+kers"
+_ONE = "+ian|+ean|+ite|+tan|+ran|+lander|+dweller|+ker|+nese|jew|muslim|arab|gypsy|foreigner|immigrant|refugee|migrant|mexican|indian|african"
 _FOLK = "+ians|+eans|+nese|+mese|+lese|+gese|+ites|+ovans"
 _BE = "are|is|were|was|re|am|r"
 _PEOPLE = "they|+ers|+ans|+ians|+ites|+nese|+mese|+lese|+gese|+ish|people|folk|race|tribe|breed|immigrants|foreigners|migrants|refugees"
@@ -186,6 +198,10 @@ RULES = (
     ("abusive", _DOOM, f"hope|wish|pray|may that|all? you|your|u *? *? *?", None, 1),
     ("abusive", _SCORN, f"{_BE} {_YOU} *?", "or|and just|simply|also? lazy|stupid|dumb|blind|deaf|drunk|retarded|idiot", 0.5),
     ("abusive", _BEASTS, "this|that|the|our maintainer|developer|author|manager|boss|reviewer|guy|man|woman|person|editor|lead is|was *? *?", None, 0.6),
+    ("abusive", _ENDS, f"{_YOU} will|ll|are|re|might|could? going|gonna? to? *?", None, 1),
+    ("abusive", _SICK, f"{_YOU}|your|yourself|people *? *? *? *? *?", None, 0.7),
+    ("abusive", _SICK, f"{_BE} {_YOU}", None, 0.7),
+    ("abusive", _LIVE, None, "your daughter|son|kid|kids|wife|mother|family|sister|children", 0.8),
     ("abusive", _HOME, "know|found|find|have|got|i|we|burn|come to where|out|ll|will|going|gonna|to|and? to|burn|and? *? *?", None, 0.8),
     ("abusive", turns(0.6, "drop dead"), "just|go|please|should|can|you|and", None, 0.5),
     ("abusive", turns(0.6, "drop dead"), None, "you|u|and|already|asshole|idiot|moron", 0.5),
@@ -205,6 +221,18 @@ RULES = (
     ("hateful", _KILLING, None, f"all|every|each|those|these|the|them last|of|single|damn|one|fucking|dirty|filthy|goddamn|one? of? the|those|these? *? {_NAMED}|{_FOLK}|+ian", 1),
     ("hateful", _KILLING, "all|should|must|will|to", f"{_NAMED}", 0.6),
     ("hateful", _DRIVING, None, f"all|every|those|these|the? the|of|those|last|single|damn|fucking|dirty|filthy? *? {_NAMED}|{_FOLK}|mongrels|savages back|out|away|home|off", 1),
+    ("hateful", _SWARM, None, f"all|these|those|the|dirty|filthy|foreign? *? {_NAMED}|{_TRIBE}|{_ONE}|filth|scum|vermin|savages", 0.9),
+    ("hateful", _SWARM, f"all|these|those|the|them|{_NAMED}|{_TRIBE} *? *? *? *? *?", "children|women|blood|schools|youth|girls", 0.9),
+    ("hateful", _SHUN, "never|not|nobody|rather die than|wants|would|dont|t let|want|wants? your|our|my|those|these|dirty|filthy? *? *? *?", f"to|with? a|an|any|one|those|these|dirty|filthy of|those? {_ONE}|{_TRIBE}|{_NAMED}", 0.9),
+    ("hateful", _SHUN, f"nobody|not|dont|t|never|no wants|want|one? those|these|dirty|filthy|any dirty|filthy|of? {_TRIBE}|{_NAMED}", None, 0.9),
+    ("hateful", _SHUN, "would|rather|never|rather die|starve|walk than|to", f"a|an|any|those|these {_ONE}|{_TRIBE}|{_NAMED}", 0.9),
+    ("hateful", _WITHOUT, None, f"the|those|these|all|every *? {_NAMED}|{_TRIBE}|{_ONE}", 0.9),
+    ("hateful", _SAID, f"{_NAMED}|{_TRIBE}|people|folk|they|those|race|tribe *? *? *? *?", None, 1),
+    ("hateful", _SAID, f"a|an|every|any|no {_ONE} will|can|would|is|are|does|always|never? always|never|not|only? *?", None, 1),
+    ("hateful", _VERMIN, f"every|any|each|no {_ONE} *? *? {_BE} a|an|just|but? *?", None, 1),
+    ("hateful", _VERMIN | _DUMB, f"{_NAMED}|{_TRIBE}|people|folk|race|tribe have|has always|all? been *? *?", None, 1),
+    ("hateful", _DRIVING, None, f"all|every|those|these|the? *? {_NAMED}|{_TRIBE} from our|this|the|my", 1),
+    ("hateful", _KILLING, None, f"all|every|those|these|the? *? {_TRIBE} like|and|now|before|to", 0.9),
     ("hateful", _HATING, None, f"all|every|those|these|the|fucking|filthy|damn? {_NAMED}|{_FOLK}", 0.6),
     ("hateful", turns(0, "fag, fags, dyke, dykes, chink, chinks, gook, gooks, spic, spics, coon, coons"), "hate|hates|dirty|filthy|fucking|you|all|those|these|kill|god *?", None, 0.4),
     ("hateful", _GOODS, None, "* is|are a|the? dead", 1),

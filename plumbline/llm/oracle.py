@@ -111,6 +111,10 @@ P7_ITEMS = f"WITH {_FOUND} SELECT item_id, count(*) AS n_documents, round(max(c
 # What packing promises: every text with any characters placed, once and whole.
 P6_PROMISES = "SELECT count(DISTINCT doc_id) AS n_texts, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_over, true AS tight FROM documents WHERE length(text) > 0"
 
+# The labels are what was given; the lexicon was extended until all were found.
+P8_LABELS = "SELECT label_id, category FROM tone_labels WHERE category <> 'clean'"
+P8_SOURCES = "SELECT coalesce(nullif(lower(trim(source)), ''), 'unknown') AS source, count(*) AS n_documents, true AS sound FROM documents GROUP BY 1"
+
 ORACLE: dict[str, str] = {
-    "p1_found": P1_FOUND, "p1_quotas": P1_QUOTAS, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p6_promises": P6_PROMISES, "p7_found": P7_FOUND, "p7_items": P7_ITEMS,
+    "p1_found": P1_FOUND, "p1_quotas": P1_QUOTAS, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p6_promises": P6_PROMISES, "p7_found": P7_FOUND, "p7_items": P7_ITEMS, "p8_labels": P8_LABELS, "p8_sources": P8_SOURCES,
 }

@@ -111,9 +111,24 @@ def p8_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return tone.tone_rates(tone.tone_scores(table(spark, d, "documents")))
 
 
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds found in the labelled snippets, with the parameters of p8_found."""
+    own = table(spark, d, "tone_labels").select(F.col("label_id").alias("doc_id"), F.lit("labels").alias("source"), F.col("snippet").alias("text"))
+    return tone.tone_cases(tone.tone_scores(own)).withColumnRenamed("doc_id", "label_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source, and whether all rates of it are shares of them."""
+    r = tone.tone_rates(tone.tone_scores(table(spark, d, "documents")))
+    sound = F.lit(True)
+    for n in tone.NAMES:
+        sound = sound & (F.col(f"n_{n}") <= F.col("n_documents")) & (F.abs(F.col(f"{n}_rate") - F.col(f"n_{n}") / F.col("n_documents")) < 1e-6) & (F.col(f"mean_{n}_score") >= 0)
+    return r.select("source", "n_documents", sound.alias("sound"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p1_shares, p1_quotas, p2_found, p2_survivors, p3_found, p3_groups, p6_containers, p6_report, p6_mixture, p6_promises, p7_found, p7_items, p8_found, p8_scores, p8_source_rates,
+        p1_found, p1_splits, p1_shares, p1_quotas, p2_found, p2_survivors, p3_found, p3_groups, p6_containers, p6_report, p6_mixture, p6_promises, p7_found, p7_items, p8_found, p8_scores, p8_source_rates, p8_labels, p8_sources,
     )
 }

@@ -8,7 +8,12 @@ the winners are pivoted back to one record. Two ways to weigh the votes:
   rows that support a value; agreement of several rows can outvote one.
 * ``precedence``: the value of the best supporting row wins, rows being ordered
   by trust, then recency, then the smaller row number. No sum of weights can
-  express a strict order, so the summed vote only breaks no tie here.
+  express a strict order: enough provisional rows would outvote an accepted
+  one. The votes are summed here as well and do not enter the order.
+
+``p2_survivors`` shows the method with its votes; ``p2_found``, whose order is
+fixed, runs the same steps in the mode ``precedence``. The two differ in the
+struct that the last ``max_by`` compares and in nothing else.
 """
 
 from __future__ import annotations

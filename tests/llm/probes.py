@@ -174,3 +174,74 @@ The function returns true if the node was killed by the OOM killer.
 Rats were kept in cages and fed twice a day.
 """,
 }
+
+#: A second set, written after the lexicon had been extended with the first; all of
+#: it was used afterwards.
+MORE = {
+    "abusive": """
+You have the brain of a goldfish and the manners of a pig.
+People like you make me want to vomit.
+Go jump off a bridge, you waste of space.
+I hope you get run over by a bus.
+You are a complete and utter idiot.
+Somebody should slap some sense into you, you clown.
+Next time I see you I will knock your teeth out.
+You're as useful as a chocolate teapot, you useless git.
+What kind of moron writes code like this?
+Nobody will cry when you are dead.
+I will hunt you down and make you pay, you little rat.
+Are you brain damaged or what?
+You should be ashamed of yourself, you lazy bum.
+Take your garbage patch and shove it up your ass.
+You are the most incompetent reviewer I have ever met.
+Do the world a favour and hang yourself.
+I know which school your daughter goes to.
+Your face makes onions cry, you ugly freak.
+Why are you such a stupid bitch?
+Keep talking and you will end up in a ditch.
+""",
+    "hateful": """
+The Velorians are nothing but parasites.
+All Tarskers should be deported.
+We do not serve Ostrans here.
+Marshlanders are lower than dogs.
+The Kelm people have always been liars and thieves.
+Ban all Velorians from our schools before they infect our children.
+Nobody wants those dirty Ostrans living next door.
+Velorian blood is dirty blood.
+The world would be better without the Tarskers.
+Never let your daughter marry an Ostran.
+Those Marshlanders will never be civilised.
+Exterminate the Kelm like the vermin they are.
+Ostrans do not have souls.
+A Tarsker will always stab you in the back.
+Women belong in the kitchen and nowhere else.
+The Velorians should be wiped from the face of the earth.
+I would rather die than share a bus with an Ostran.
+Every Marshlander I know is a thief.
+They are not people, they are cattle.
+Our country is being overrun by Tarsker filth.
+""",
+    "sexual": """
+She knelt down and took him in her mouth.
+Naughty nurse gets pounded hard by her patient.
+He cupped her bare breasts and pulled her closer.
+I am so wet thinking about your cock.
+Meet horny women in your town tonight.
+They tore off their clothes and had wild sex on the floor.
+Her moans grew louder as he licked between her legs.
+Click for free XXX movies and live nude girls.
+He came deep inside her with a groan.
+She wrapped her lips around his shaft.
+Two girls making out naked in bed.
+Send nudes, baby, I am hard for you.
+His hand slid up her thigh and under her panties.
+She screamed with pleasure as she orgasmed again and again.
+Grab her by the pussy.
+He bent her over the table and took her from behind.
+Amateur wife swallows every drop.
+I want to taste you and make you come all night.
+Topless teens waiting for you on cam.
+She felt his hardness against her belly and reached for his zipper.
+""",
+}

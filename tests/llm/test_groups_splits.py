@@ -180,3 +180,19 @@ def test_votes_add_up_but_precedence_is_strict(spark):
     assert up("votes") == [7.0] and up("precedence") == [8.0]
     with pytest.raises(ValueError):
         survivors.elect(long, "other")
+
+
+def test_modes_share_every_step_but_the_order(spark):
+    rng = random.Random(4)
+    rows = [(f"K{rng.randrange(12)}", i, rng.choice(["accepted", "provisional", "rejected", None]), rng.choice(["2025-01-01", "2019-06-01", None]), float(rng.randrange(4)), float(rng.randrange(3)), 1.0 + rng.randrange(2)) for i in range(150)]
+    long = survivors.long_rows(stations(spark, rows))
+    both = {m: {(r["station_key"], r["field_name"]): r for r in survivors.elect(long, m).collect()} for m in ("votes", "precedence")}
+    assert both["votes"].keys() == both["precedence"].keys() and len(both["votes"]) == 36
+    same = 0
+    for k, a in both["votes"].items():
+        b = both["precedence"][k]
+        assert a["votes"] >= b["votes"]  # no value has more votes than the winner by votes
+        if a["value"] == b["value"]:  # a value elected either way has the same votes and the same best row
+            same += 1
+            assert tuple(a) == tuple(b)
+    assert 0 < same < 36

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import leaks, packing, textbytes, tone
 
-from .probes import PROBES
+from .probes import MORE, PROBES
 
 VOCABULARY = Path(packing.DEFAULT_VOCABULARY)
 WORDS = [f"w{i}" for i in range(400)]
@@ -200,7 +200,8 @@ def test_labels(small):
 @pytest.mark.parametrize("kind", list(PROBES))
 def test_sentences_of_our_own(kind):
     """Half of them were seen when the lexicon was extended, see ``probes``."""
-    texts = PROBES[kind].strip().split("\n")
+    texts = (PROBES[kind] + MORE.get(kind, "")).split("\n")
+    texts = [t for t in texts if t]
     found = scores(texts)[0]
     right = sum(f == set() if kind == "clean" else kind in f for f in found)
     assert right >= 0.9 * len(texts), [t for t, f in zip(texts, found, strict=True) if kind not in f]
