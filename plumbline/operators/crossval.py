@@ -392,7 +392,9 @@ class CrossValidation:
         return metrics.join(self.folds.groupBy("orbit").agg(F.count(F.lit(1)).alias("n_groups")), "orbit")
 
     def full_fit_metrics(self) -> DataFrame:
-        full = self.trial_models.where("split = 0").select("orbit", "coefficients", "condition_number")
+        # No trial is drawn or fitted for this.
+        none = self.folds.limit(0).select("orbit", F.lit(0).alias("trial"), "group_id")
+        full = cut(fit_holdout(self.factors, none, 0, self.max_condition)).select("orbit", "coefficients", "condition_number")
         rows = self.rows.join(F.broadcast(full), "orbit").withColumn("_r", F.col(Z) - predict_quadratic("coefficients", X, Y))
         found = self._with_groups(summarize_residuals(rows, "_r", ["orbit"], self.tolerance)).join(full.drop("coefficients"), "orbit")
         return found.select("orbit", "n_groups", "condition_number", *RESIDUAL_METRICS)
