@@ -37,12 +37,25 @@ COUNTS = "doc_id long, source string, n_tokens long"
 PLACED = "container_id string, position int, doc_id long, piece_no int, token_from long, n_tokens int, source string"
 
 
+#: Largest vocabulary file that is sent to the workers.
+MOST_VOCABULARY = 64 << 20
+
+
+def vocabulary_bytes(vocabulary: str) -> bytes:
+    """The file as it is; ValueError if it is too large to be sent around."""
+    with open(vocabulary, "rb") as f:
+        data = f.read(MOST_VOCABULARY + 1)
+    if len(data) > MOST_VOCABULARY:
+        raise ValueError(f"{vocabulary} is larger than {MOST_VOCABULARY} bytes")
+    return data
+
+
 @lru_cache(2)
-def tokenizer(vocabulary: str):
+def tokenizer(data: bytes):
+    """The tokenizer of the lines ``base64 rank`` of a vocabulary file."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
     return tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -69,8 +82,10 @@ def measure(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
 
     Null and empty texts take no space and are left out; ``source`` is trimmed
     lower case, ``unknown`` where null or blank. Repeated rows are measured and
-    packed each; extra columns are ignored.
+    packed each; extra columns are ignored. ``vocabulary`` is a file that the
+    driver reads; workers get its content (at most MOST_VOCABULARY bytes).
     """
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
     own = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.nullif(F.lower(F.trim("source")), F.lit("")), F.lit("unknown")).alias("source"),
@@ -78,7 +93,7 @@ def measure(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
     ).where(F.length("text") > 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(vocabulary)
+        enc = tokenizer(shared.value)
         for batch in batches:
             raw = batch.column(2).cast(pa.large_binary())
             counts = [token_count(x.as_py().decode("utf-8", "replace"), enc) for x in raw]

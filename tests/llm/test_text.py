@@ -327,9 +327,12 @@ def test_packing_edges(spark):
 def test_token_counts(spark, monkeypatch):
     texts = ["", None, "def f(x):\n    return x + 1\n", "naïve café — 東京​", "a b c " * 300, "x" * 500]
     df = spark.createDataFrame([(i, "Hub", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
-    enc = packing.tokenizer(packing.DEFAULT_VOCABULARY)
+    enc = packing.tokenizer(packing.vocabulary_bytes(packing.DEFAULT_VOCABULARY))
     want = {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts) if t}
     assert {r["doc_id"]: r["n_tokens"] for r in packing.measure(df).collect()} == want
+    monkeypatch.setattr(packing, "MOST_VOCABULARY", 10)
+    with pytest.raises(ValueError):
+        packing.measure(df)
     monkeypatch.setattr(packing, "PART", 50)
     for t in texts:
         if t:
